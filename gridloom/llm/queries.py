@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, sharding, substring
+from . import licenses, minhash, quality, sharding, substring
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": op3_quality_rules,
         "op5_license_scans": op5_license_scans,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_hilbert_shards": op10_hilbert_shards,
     }
