@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, quality, sharding, substring
+from . import decontam, licenses, minhash, quality, sharding, substring
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op5_license_scans": op5_license_scans,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_decontamination": op7_decontamination,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_hilbert_shards": op10_hilbert_shards,
     }
