@@ -26,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import text_of, words_of
-from .rolling import MULTIPLIER, lists, mix, places, slices, windows, word_hashes
+from .rolling import MULTIPLIER, mix, places, slices, windows, word_hashes
 
 WIDTH = 35
 PERIOD = 21
@@ -41,6 +41,10 @@ ANCHOR = WIDTH - PERIOD + 1
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NO_ID = -(2**63)
+#: Codes hold a place in their low 32 bits, then the row's number among those of its doc_id, then this mark.
+KNOWN = 1 << 62
+#: Anchors only pick what is hashed again, so fewer bits do: a chance meeting costs a little work, no result.
+ANCHOR_BITS = 48
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -52,10 +56,10 @@ def _rows(names: list[str], *columns: pa.Array) -> pa.RecordBatch:
 
 
 def _dealt(h: np.ndarray, key: pa.Array, code: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Rows (h, known, key, code) for a shuffle by h.
+    """Rows (h, key, code) for a shuffle by h.
 
-    What occurs twice here is known to repeat: its places go under keys of their own, spread over all
-    tasks, and one row with code -1 tells the others.
+    What occurs twice here is known to repeat: its places carry KNOWN in their code and go under keys of
+    their own, spread over all tasks, and one row with code -1 tells the others.
     """
     order = np.argsort(h, kind="stable")
     s = h[order]
@@ -73,14 +77,13 @@ def _dealt(h: np.ndarray, key: pa.Array, code: np.ndarray, names: list[str]) ->
     return _rows(
         names,
         pa.array(np.concatenate([out, told]).view(np.int64)),
-        pa.array(np.concatenate([known, np.zeros(n, bool)])),
         pa.concat_arrays([key, pa.array(np.full(n, _NO_ID), pa.int64())]),
-        pa.array(np.concatenate([code, np.full(n, -1, np.int64)])),
+        pa.array(np.concatenate([code + known * KNOWN, np.full(n, -1, np.int64)])),
     )
 
 
-_DEALT = "h long, known boolean, k long, code long"
-_NAMES = ["h", "known", "k", "code"]
+_DEALT = "h long, k long, code long"
+_NAMES = ["h", "k", "code"]
 
 
 def _anchors(width: int, period: int, cover: tuple[int, ...]):
@@ -94,7 +97,8 @@ def _anchors(width: int, period: int, cover: tuple[int, ...]):
                 row, place = places(offsets)
                 row, place = row[: len(h)], place[: len(h)]
                 use = inside[place % period] & (place + a <= np.diff(offsets)[row]) & (np.diff(offsets)[row] >= width)
-                yield _dealt(h[use], b.column(0).slice(at, end - at).take(pa.array(row[use])), place[use], _NAMES)
+                low = h[use] & np.uint64((1 << ANCHOR_BITS) - 1)
+                yield _dealt(low, b.column(0).slice(at, end - at).take(pa.array(row[use])), place[use], _NAMES)
 
     return run
 
@@ -127,11 +131,11 @@ def _whole_windows(width: int, period: int):
     return run
 
 
-def _repeated(rows: DataFrame, out: str) -> DataFrame:
-    """k and the list of codes whose hash occurs twice or more."""
+def _repeated(rows: DataFrame, *lists: Column) -> DataFrame:
+    """k and lists made of the codes whose hash occurs twice or more (bounded by the places of one document)."""
     n = F.count("*").over(Window.partitionBy("h"))
-    hit = rows.withColumn("_n", n).filter((F.col("known") | (F.col("_n") > 1)) & (F.col("code") >= 0))
-    return hit.groupBy("k").agg(F.collect_list("code").alias(out))  # bounded by the places of one document
+    hit = rows.withColumn("_n", n).filter(((F.col("code") >= KNOWN) | (F.col("_n") > 1)) & (F.col("code") >= 0))
+    return hit.withColumn("code", F.col("code") % KNOWN).groupBy("k").agg(*lists)
 
 
 def cut_text(text: str, starts: np.ndarray, width: int) -> tuple[str, int, int]:
@@ -153,11 +157,13 @@ def _cut(width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, removed = [], []
-            for t, n, codes in zip(b.column("text"), b.column("_n"), b.column("_codes"), strict=True):
-                t, starts = t.as_py(), np.zeros(0, np.int64)
-                if codes.is_valid:
+            for t, n, first, codes in zip(*(b.column(c) for c in ("text", "_n", "_first", "_codes")), strict=True):
+                t, n, starts = t.as_py(), n.as_py(), np.zeros(0, np.int64)
+                if n == 1 and first.is_valid:
+                    starts = np.asarray(first.values).astype(np.int64)
+                elif codes.is_valid:
                     c = np.asarray(codes.values)
-                    starts = c[c >> 32 == n.as_py()] & 0xFFFFFFFF
+                    starts = c[c >> 32 == n] & 0xFFFFFFFF
                 if t is None or not len(starts):
                     text.append(t)
                     removed.append(0)
@@ -183,12 +189,18 @@ def cut(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
     )
     anchors = base.select("k", word_hashes(text_of()).alias("_words")).mapInArrow(_anchors(width, period, cover), _DEALT)
-    at = _repeated(anchors, "_at")
+    at = _repeated(anchors, F.collect_list(F.col("code").cast("int")).alias("_at"))
     numbered = base.withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"))))
     found = numbered.join(at, "k", "left").withColumn(
         "_words", F.when(F.col("_at").isNotNull(), word_hashes(text_of()))
     )
-    again = _repeated(found.mapInArrow(_whole_windows(width, period), _DEALT), "_codes")
+    # places of a doc_id's first row (as a rule its only one) take half the room of full codes
+    first = F.shiftright("code", 32) == 1
+    again = _repeated(
+        found.mapInArrow(_whole_windows(width, period), _DEALT),
+        F.collect_list(F.when(first, (F.col("code") % 2**32).cast("int"))).alias("_first"),
+        F.collect_list(F.when(~first, F.col("code"))).alias("_codes"),
+    )
     schema = StructType([*[f for f in base.schema if f.name in ("text", "_row")], StructField("_removed", LongType())])
     out = numbered.join(again, "k", "left").mapInArrow(_cut(width, ["text", "_row"]), schema)
     return out.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], "_removed")
