@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, minhash, quality, sharding, substring
+from . import chat, decontam, html, licenses, minhash, pieces, quality, sharding, substring, tokens
 from .common import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -26,6 +38,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(read(spark, sf_dir, "documents"))
 
@@ -36,14 +52,18 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
+        "op2_token_counts": op2_token_counts,
         "op3_quality_rules": op3_quality_rules,
+        "op4_chat_formatting": op4_chat_formatting,
         "op5_license_scans": op5_license_scans,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_decontamination": op7_decontamination,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_hilbert_shards": op10_hilbert_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.ORACLE_SQL}
