@@ -376,7 +376,7 @@ def _(b, v):
 
 @query("agg_weighted_counts", " SELECT v.volume_id, r.range AS key, COALESCE(SUM(intensity), 0) AS total FROM (SELECT DISTINCT volume_id FROM bins) v CROSS JOIN range(30) r LEFT JOIN bins b ON b.volume_id = v.volume_id AND b.ih + 2 = r.range GROUP BY ALL")
 def _(b, v):
-    every = b.select("volume_id").distinct().withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(29))).cast("long"))
+    every = b.select("volume_id").distinct().withColumn("key", F.explode(F.expr("sequence(0L, 29L)")))
     g = b.groupBy("volume_id", (F.col("ih") + 2).cast("long").alias("key")).agg(F.sum("intensity").alias("total"))
     return every.join(g, ["volume_id", "key"], "left").fillna(0.0, ["total"])
 
