@@ -47,13 +47,13 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue  # noqa: F401  (registers on import)
+    from . import catalogue, catalogue_more  # noqa: F401  (they register on import)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue  # noqa: F401
+    from . import catalogue, catalogue_more  # noqa: F401
 
     return dict(ORACLES)
 
