@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html, licenses, minhash, pieces, quality, sharding, substring, tokens
+from . import chat, decontam, html, licenses, minhash, oracles, pieces, quality, sharding, substring, tokens
 from .common import read
 
 
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE_SQL}
+    return dict(oracles.ALL)
