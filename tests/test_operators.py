@@ -131,3 +131,35 @@ def test_wide_neighbourhoods_are_refused(spark):
     b, _ = cube(spark, lambda i, j, k: 1, 3)
     with pytest.raises(ValueError):
         lat.offsets(b, 5)
+
+
+def test_laplace_fill_is_harmonic(spark):
+    from gridloom.operators import cleaning as cl
+
+    # a linear field is harmonic: holes get it back exactly; a region without measured neighbours takes the median
+    b, v = cube(spark, lambda i, j, k: 2 * i - j + 3 * k)
+    holes = b.filter("ih between 2 and 4 and ik between 2 and 4 and il between 2 and 4").withColumn("region", F.lit(7).cast("long"))
+    got = cl.laplace_fill(b, holes.select("volume_id", "ih", "ik", "il", "region")).collect()
+    assert len(got) == 27 and all(abs(r.fill - (2 * r.ih - r.ik + 3 * r.il)) < 1e-8 for r in got)
+    plain = cl.laplace_fill(b, holes.select("volume_id", "ih", "ik", "il", "region"), most=5).collect()
+    assert len(plain) == 27 and len({r.fill for r in plain}) == 1
+
+
+def test_pooled_rings_take_off_a_planted_ring(spark):
+    from gridloom.operators import cleaning as cl
+
+    b, v = cube(spark, lambda i, j, k: 10 + (40 if 2.0 <= np.hypot(j - 5, k - 5) < 3.0 else 0), 11)
+    q = b.withColumn("q", F.sqrt(F.col("k") ** 2 + F.col("l") ** 2))
+    shells = spark.createDataFrame([("v", 2)], "volume_id string, shell int")
+    out = cl.remove_rings(q, "h", shells, 0.2000001, sectors=4)
+    on = out.filter("removed > 0")
+    assert on.count() > 0 and on.filter("abs(intensity - 10) > 1e-9 and removed < 40").count() == 0
+    none = cl.remove_rings(q, "h", shells.limit(0), 0.2000001, sectors=4)
+    assert none.filter("removed <> 0").count() == 0
+
+
+def test_weighted_median(spark):
+    from gridloom.operators import cleaning as cl
+
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 9.0, 5.0), ("b", 4.0, 2.0)], "g string, v double, w double")
+    assert {r.g: r.median for r in cl.weighted_median(df, ["g"], "v", "w").collect()} == {"a": 9.0, "b": 4.0}
