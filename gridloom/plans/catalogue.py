@@ -627,9 +627,9 @@ _PREP = """ wt AS (SELECT volume_id, ih, ik, il, intensity, (0.5 * (1 + COS(3.14
  pp AS (SELECT wt.*, (intensity - m) * w AS value FROM wt JOIN (SELECT volume_id, SUM(w * intensity) / SUM(w) AS m FROM wt GROUP BY 1) USING (volume_id))"""
 
 
-@query("dom_transform_prepared", f" SELECT {VALS}, ROUND(value, 5) AS value FROM pp", _PREP)
+@query("dom_transform_prepared", f" SELECT {VALS}, ROUND(value, 5) + 0.0e0 AS value FROM pp", _PREP)
 def _(b, v):
-    return tr.prepared(b, v, "hann").select(*KEY, F.round("value", 5).alias("value"))
+    return tr.prepared(b, v, "hann").select(*KEY, (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
 _WANT = [(10, 10, 5), (11, 10, 5), (10, 12, 5), (13, 9, 6), (3, 17, 2)]

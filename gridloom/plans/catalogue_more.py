@@ -130,7 +130,7 @@ def _(b, v):
       AND s.ih IN (CAST(FLOOR((a.ih - 10) * 0.5e0) AS INT) + 10, CAST(CEIL((a.ih - 10) * 0.5e0) AS INT) + 10) WHERE (a.ih - 10) % 2 <> 0 GROUP BY a.volume_id, a.ih, a.ik, a.il""")
 def _(b, v):
     t = b.filter("il = 5 and abs(ih - 10) <= 6 and (ih - 10) % 2 <> 0").select(*KEY, "h", "k", "l")
-    return rs.regrid(b, v, t, (0.5, 0, 0, 0, 1, 0, 0, 0, 1))
+    return r6(rs.regrid(b, v, t, (0.5, 0, 0, 0, 1, 0, 0, 0, 1)), "intensity")
 
 
 _SITES = [("a", 0.0, 0.0, 0.0, 1.0), ("b", 0.5, 0.5, 0.5, 2.0), ("c", 0.25, 0.0, 0.75, 3.0)]
