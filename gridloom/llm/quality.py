@@ -26,6 +26,8 @@ REACH = 4
 SALTS = 32
 #: Fence tables up to this many rows are broadcast.
 BROADCAST_ROWS = 50_000
+#: Rejected documents up to this many are broadcast to be taken out; more leave by a shuffled join.
+BROADCAST_IDS = 1_000_000
 
 SYMBOLS = "#*$%&|<>"
 
@@ -158,7 +160,13 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, whose document is kept."""
-    m = measures(docs)
-    table = materialise(fences(sketch(m)))
-    return _judged(m, table).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, with their columns, whose document is kept.
+
+    Measures are made once, without the texts; what is rejected leaves by an anti-join on doc_id and text hash.
+    """
+    own = docs.select("doc_id", "text", "lang", "source", F.xxhash64(text_of()).alias("_th"))
+    m = materialise(measures(own).drop("text"))
+    out = _judged(m, materialise(fences(sketch(m)))).filter(~F.col("_kept"))
+    gone = materialise(out.select(F.col("doc_id").alias("_gd"), F.col("_th").alias("_gh")).distinct())
+    on = F.col("doc_id").eqNullSafe(F.col("_gd")) & (F.xxhash64(text_of()) == F.col("_gh"))
+    return docs.join(small(gone, BROADCAST_IDS), on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
