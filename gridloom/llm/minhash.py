@@ -11,11 +11,17 @@ a hash deals each dart to one of K coordinates, and the earliest (least rank) of
 signature.  Two documents agree on a coordinate with the probability of their weighted similarity.  If a
 coordinate got no dart, the limit is doubled for that document.
 
-Banded join: BANDS hashes of ROWS coordinates each.  In each bucket the least document leads and is
-compared with the others, exactly, on whole texts; links make components.  While a bucket still holds
-documents of several components, further leaders are compared with the members of other components, twice
-as many in each round, until no untested pair is left that could join two components: no link that the
-bands found is lost, and no bucket is expanded into all of its pairs where its links already connect it.
+Banded join: BANDS hashes of ROWS coordinates each.  In each bucket one document leads, the one that meets
+most others in all its buckets, and is compared with the rest, exactly, on whole texts; links make
+components.  A bucket whose other members are then all of one component is done.  In the rest, two members
+o and x of different components need a look only in two cases, because |o & x| is at most the lesser of
+|o & leader| and |x & leader| plus the elements both have beyond the leader's:
+
+* their sizes and their overlaps with the leader allow the similarity even so: such pairs are compared;
+* they share an element that the leader lacks: those elements make new, smaller buckets, and so on.
+
+So no link that the bands found is lost, and no bucket is expanded into all of its pairs but the later ones
+of up to FEW members, whose number of pairs has a fixed bound.
 
 Chances: a pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS, 0.99993 at 0.8.
 
@@ -32,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, small, text_of, words_of
@@ -44,6 +50,8 @@ BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 #: Candidate lists of up to this many document ids are broadcast to pick texts; longer ones join by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members of a bucket of elements whose cross pairs (28 at most) are compared at once.
+FEW = 8
 
 
 def units(flat: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -138,17 +146,18 @@ def _unit_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), u], names=["node", "units"])
 
 
-def _compared(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.asarray(x.values), np.asarray(y.values)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(both > 0 and both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    return run
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both, extra = [], []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            x, y = np.asarray(x.values), np.asarray(y.values)
+            more = np.setdiff1d(y, x, assume_unique=True)
+            both.append(len(y) - len(more))
+            extra.append(more)
+        beyond = lists(np.concatenate([*extra, np.zeros(0, np.int64)]), np.array([len(x) for x in extra], np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), pa.array(both, pa.int64()), b.column(4), b.column(5), beyond], names=["a", "b", "both", "na", "nb", "extra"]
+        )
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -161,8 +170,8 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return d.mapInArrow(_signed(bands, rows), "doc_id long, ck string, weight long, bands array<bigint>")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of documents that are similar, by exact comparison of whole texts."""
+def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of doc_ids with both (size of the intersection), na, nb, and extra (what b has beyond a)."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         small(materialise(ids), BROADCAST_IDS), "doc_id", "left_semi"
@@ -170,7 +179,81 @@ def _links(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     u = texts.select("doc_id", word_hashes(text_of()).alias("_h")).mapInArrow(_unit_lists, "node long, units array<bigint>")
     p = pairs.join(u.select(F.col("node").alias("b"), F.col("units").alias("ub")), "b")
     p = p.join(u.select(F.col("node").alias("a"), F.col("units").alias("ua")), "a")
-    return p.select("a", "b", "ua", "ub").mapInArrow(_compared(similarity), "a long, b long")
+    p = p.select("a", "b", "ua", "ub", F.size("ua").cast("long").alias("na"), F.size("ub").cast("long").alias("nb"))
+    return materialise(p.mapInArrow(_compared, "a long, b long, both long, na long, nb long, extra array<bigint>"))
+
+
+def _leaders(buckets: DataFrame) -> DataFrame:
+    """(key, a): the member of each bucket that meets most others over all its buckets; the least on a tie."""
+    n = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    met = buckets.join(n, "key").groupBy("node").agg(F.sum("n").alias("met"))
+    top = F.max(F.struct("met", (-F.col("node")).alias("m"), F.col("node").alias("a")))
+    return buckets.join(met, "node").groupBy("key").agg(top.alias("t")).select("key", F.col("t.a").alias("a"))
+
+
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def _grouped(docs: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame | None:
+    """(node, label) of linked nodes, from buckets (key, node, weight); null if nothing is linked.
+
+    Each level compares the leaders of its buckets, and the close pairs that the level before left over, in
+    one pass over the texts they name; components are made anew only if that found links.
+    """
+    links = label = near = None
+    alike = F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9
+
+    def members(df: DataFrame) -> DataFrame:
+        """df with labels as they are now, of buckets that hold several."""
+        if label is None:
+            d = df.withColumn("label", F.col("node"))
+        else:
+            d = df.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = d.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        return d.join(open_, "key")
+
+    level = 0
+    while (more := _some(buckets)) or near is not None:
+        if level == 0:  # with bands, the document that meets most others leads
+            led = materialise(buckets.join(_leaders(buckets), "key"))
+        else:
+            # buckets of up to FEW members are settled at once; of larger ones any member leads
+            size = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"))
+            sized = materialise(buckets.join(size, "key"))
+            few = sized.filter(f"n <= {FEW}").select("key", "node", "label")
+            x, y = (few.select("key", F.col("node").alias(f"node{i}"), F.col("label").alias(f"label{i}")) for i in (1, 2))
+            at_once = x.join(y, "key").filter("node1 < node2 and label1 <> label2").select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+            near = at_once if near is None else near.unionByName(at_once)
+            led = sized.filter(f"n > {FEW}").select("key", "node", "weight", "a")
+        pairs = led.filter("a <> node").select("a", F.col("node").alias("b"))
+        pairs = materialise((pairs if near is None else pairs.unionByName(near)).distinct())
+        found = compared(docs, pairs)
+        new = found.filter(alike).select("a", "b")
+        if _some(new):
+            links = materialise(new if links is None else links.unionByName(new))
+            label = components(links)
+        near = None
+        if not more:
+            break
+        level += 1
+        rest = led.filter("a <> node").join(found.select("a", F.col("b").alias("node"), "both"), ["a", "node"])
+        rest = materialise(members(rest).select("key", "a", "node", "weight", "both", "label"))
+        if not _some(rest):
+            break
+        # what shares nothing beyond the leader: the other's weight is at most ``reach``
+        r = rest.withColumn("reach", (1 + similarity) / similarity * F.col("both") - F.col("weight") + 1e-6)
+        r = r.join(rest.groupBy("key").agg(F.min("weight").alias("least")), "key").filter("reach >= least")
+        x, y = (r.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "weight", "reach", "label")]) for i in (1, 2))
+        near = x.join(y, "key").filter("node1 < node2 and label1 <> label2 and weight2 <= reach1 and weight1 <= reach2")
+        near = materialise(near.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct())
+        near = near if _some(near) else None
+        # elements beyond the leader make the next buckets
+        beyond = rest.select("a", "node", "weight", "label").distinct().join(found.select("a", F.col("b").alias("node"), "extra"), ["a", "node"])
+        beyond = beyond.select("node", "weight", "label", F.explode("extra").alias("e"), "a").withColumn("key", F.xxhash64("a", "e"))
+        several = beyond.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        buckets = materialise(beyond.join(several, "key").select("key", "node", "weight", "label"))
+    return label
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -182,45 +265,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     content = materialise(content)
     keys = content.select("node", "weight", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    buckets = materialise(keys.join(full.select("key"), "key"))
-    label = None
-    links = tested = None
-    for k in range(64):
-        if label is None:
-            members = buckets.withColumn("label", F.col("node"))
-        else:
-            members = buckets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if k == 0:
-            leaders = buckets.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("s")).select("key", "s.*")
-            leaders = leaders.withColumn("label", F.col("node"))
-        else:
-            open_ = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-            buckets = materialise(members.join(open_, "key").select("key", "node", "weight"))
-            members = members.join(open_, "key")
-            nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            leaders = members.withColumn("_nth", nth).filter(F.col("_nth").between(2 ** (k - 1) + 1, 2**k)).drop("_nth")
-            if buckets.limit(1).count() == 0:
-                break
-        # leaders 1, 2, 3-4, 5-8, ... in order of node: each is compared with all members of other components
-        pairs = members.select("key", "weight", "label", F.col("node").alias("b")).join(
-            leaders.select("key", F.col("weight").alias("wa"), F.col("label").alias("la"), F.col("node").alias("a")), "key"
-        )
-        pairs = pairs.filter("a <> b").filter(F.least("wa", "weight") >= similarity * F.greatest("wa", "weight") - 1e-9)
-        if k:
-            pairs = pairs.filter("la <> label")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.limit(1).count() == 0:
-            # no pair of this round is new: go on only while some bucket has members that have not led yet
-            if k == 0 or buckets.groupBy("key").count().filter(F.col("count") > 2**k).limit(1).count() == 0:
-                break
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialise(_links(docs, pairs, similarity))
-        links = new if links is None else links.unionByName(new)
-        label = materialise(components(links))
+    label = _grouped(docs, materialise(keys.join(full.select("key"), "key").select("key", "node", "weight")), similarity)
     out = s.select("doc_id", "ck").join(content.select("ck", "node"), "ck", "left")
     if label is not None:
         out = out.join(label, "node", "left")
