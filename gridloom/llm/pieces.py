@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +43,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Distinct words remembered from batch to batch in a worker; beyond it the memory starts anew.
-REMEMBER = 400_000
+REMEMBER = 300_000
+#: Texts encoded at a time.
+STRIDE = 1000
 
 
 def default_model() -> str:
@@ -57,7 +60,8 @@ class Vocabulary:
     def __init__(self, pieces: dict[str, tuple[int, float]], kind: str, byte_ids: list[int], unk: int):
         self.pieces, self.kind, self.byte_ids, self.unk = pieces, kind, byte_ids, unk
         self.text = {i: p for p, (i, _) in pieces.items()}
-        self.byte_of = {i: b for b, i in enumerate(byte_ids)}
+        spelling = {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.spelled = defaultdict(bytes, spelling).__getitem__
         # pieces read from their last character to their first, as a trie of dicts; "" holds (id, length, score)
         self.ends: dict = {}
         for p, (i, score) in pieces.items():
@@ -96,7 +100,7 @@ class Vocabulary:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether merging pieces a + b from characters gives the pair (a, b) again."""
-        if len(self.pair) > 1_000_000:
+        if len(self.pair) > 300_000:
             self.pair.clear()
         x, y = self.text[a], self.text[b]
         ok = self.pair[a << 32 | b] = self.merged(x + y) == [x, y]
@@ -185,19 +189,8 @@ def encode_texts(texts: list[str | None], v: Vocabulary, memory: dict[str, bytes
 
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
-    """The text of ids; bytes that are not UTF-8 become replacement characters."""
-    out, held = [], bytearray()
-    for i in ids:
-        if i in v.byte_of:
-            held.append(v.byte_of[i])
-            continue
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-            held.clear()
-        out.append(v.text.get(i, ""))
-    if held:
-        out.append(held.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
+    """The text of ids; bytes that are not UTF-8 become replacement characters, unknown ids nothing."""
+    text = b"".join(map(v.spelled, ids)).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text[:1] == " " else text
 
 
@@ -213,8 +206,8 @@ def encode(df: DataFrame, model: str | None = None, column: str = "text", out: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, memory = _loaded(path), {}
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, len(b), STRIDE):
+                part = b.slice(at, STRIDE)
                 ids = encode_texts(part.column(0).to_pylist(), v, memory)
                 yield pa.RecordBatch.from_arrays([ids, part.column(1)], names=["ids", "row"])
 
@@ -240,8 +233,20 @@ def decode(df: DataFrame, model: str | None = None, column: str = "ids", out: st
 
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids, n_pieces and whether decoding gives the text back (marks read as spaces)."""
+    """doc_id, ids, n_pieces and whether decoding gives the text back (marks read as spaces), in one pass."""
     path = model or default_model()
-    d = decode(encode(docs.select("doc_id", "text"), path), path)
-    same = F.col("decoded").eqNullSafe(F.replace(F.col("text").cast("string"), F.lit(MARK), F.lit(" ")))
-    return d.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("exact"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, memory = _loaded(path), {}
+        for b in batches:
+            for at in range(0, len(b), STRIDE):
+                part = b.slice(at, STRIDE)
+                texts = part.column(1).to_pylist()
+                ids = encode_texts(texts, v, memory)
+                flat, ends = np.asarray(ids.values).tolist(), np.asarray(ids.offsets).tolist()
+                exact = [t is None or decode_ids(flat[a:z], v) == t.replace(MARK, " ") for t, a, z in zip(texts, ends, ends[1:], strict=False)]
+                n = pa.array([None if t is None else z - a for t, a, z in zip(texts, ends, ends[1:], strict=False)], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, n, pa.array(exact, pa.bool_())], names=["doc_id", "ids", "n_pieces", "exact"])
+
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return d.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, exact boolean")
