@@ -50,8 +50,8 @@ BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 #: Candidate lists of up to this many document ids are broadcast to pick texts; longer ones join by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket of elements whose cross pairs (28 at most) are compared at once.
-FEW = 8
+#: Members of a bucket of elements whose cross pairs (496 at most) are compared at once.
+FEW = 32
 
 
 def units(flat: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
