@@ -148,7 +148,7 @@ def test_laplace_fill_is_harmonic(spark):
 def test_pooled_rings_take_off_a_planted_ring(spark):
     from gridloom.operators import cleaning as cl
 
-    b, v = cube(spark, lambda i, j, k: 10 + (40 if 2.0 <= np.hypot(j - 5, k - 5) < 3.0 else 0), 11)
+    b, v = cube(spark, lambda i, j, k: 10 + (40 if 2.0 < np.hypot(j - 5, k - 5) <= 3.0 else 0), 11)  # what the shell holds
     q = b.withColumn("q", F.sqrt(F.col("k") ** 2 + F.col("l") ** 2))
     shells = spark.createDataFrame([("v", 2)], "volume_id string, shell int")
     out = cl.remove_rings(q, "h", shells, 0.2000001, sectors=4)
