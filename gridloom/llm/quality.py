@@ -5,6 +5,8 @@ buckets below 64, then 32 buckets for each doubling: a relative error of 1/32) i
 measure.  A sketch is a table of bucket counts, so sketches of other days or shards merge by adding
 counts, in any order and with the same result.  Fences come from a group's own quartiles and replace
 fixed cutoffs; documents join the fences of their group and are kept if they lie within all of them.
+:func:`keep`, the stage of the pipeline, takes :func:`pooled_fences`: there a group of few documents, or one with
+its third quartile in the junk, is judged by the merged sketch of its language, and that by the merged sketch of all.
 
 Defined results: a null text counts as empty; null languages and sources form groups of their own;
 repeated rows are judged alike; an empty table gives an empty result; other columns are ignored by
@@ -22,6 +24,8 @@ from .common import SPACES, materialise, small, text_of, words_of
 SLACK = {"symbol_pm": 150, "repeat_pm": 200, "dup_line_pm": 300, "word_len_c": 300}
 #: Quartile distances between the third quartile and the upper fence.
 REACH = 4
+#: Groups and languages of fewer documents are judged by the merged sketch above them.
+FEW = 40
 #: Copies of the fence table over which documents of one (hot) group are dealt in a shuffled join.
 SALTS = 32
 #: Fence tables up to this many rows are broadcast.
@@ -114,25 +118,58 @@ def merge(*sketches: DataFrame) -> DataFrame:
     return out.groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sk: DataFrame) -> DataFrame:
-    """(lang, source, one column high_<measure> each, low_word_len_c) from bucket counts."""
+def _limits(sk: DataFrame, *group: str) -> DataFrame:
+    """(the group's columns, measure, total, q1, q3, low, high) from bucket counts."""
     from pyspark.sql import Window
 
-    key = ["lang", "source", "measure"]
+    key = [*group, "measure"]
     w = Window.partitionBy(*key)
     c = sk.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    q = c.groupBy(*key).agg(at(1).alias("b1"), at(3).alias("b3"))
-    q = q.selectExpr(*key, f"{low_end('b1')} as q1", f"{low_end('b3')} as q3")
+    q = c.groupBy(*key).agg(at(1).alias("b1"), at(3).alias("b3"), F.max("total").alias("total"))
+    q = q.selectExpr(*key, "total", f"{low_end('b1')} as q1", f"{low_end('b3')} as q3")
     slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
     spread = F.greatest(F.lit(REACH) * (F.col("q3") - F.col("q1")), slack[F.col("measure")].cast("long"))
-    q = q.withColumn("high", F.col("q3") + spread).withColumn("low", F.col("q1") - spread)
+    return q.withColumn("high", F.col("q3") + spread).withColumn("low", F.col("q1") - spread)
+
+
+def _in_columns(limits: DataFrame) -> DataFrame:
     pick = lambda name, m: F.max(F.when(F.col("measure") == m, F.col(name)))
-    return q.groupBy("lang", "source").agg(
+    return limits.groupBy("lang", "source").agg(
         *[pick("high", m).alias(f"high_{m}") for m in SLACK], pick("low", "word_len_c").alias("low_word_len_c")
     )
 
 
+def fences(sk: DataFrame) -> DataFrame:
+    """(lang, source, one column high_<measure> each, low_word_len_c) from bucket counts."""
+    return _in_columns(_limits(sk, "lang", "source"))
+
+
+def pooled_fences(sk: DataFrame) -> DataFrame:
+    """:func:`fences`, where groups that can't be judged by themselves have those of their language, or of all.
+
+    Such a group has fewer than FEW documents, or only one of its quartiles lies within the fence above it: it is
+    then a mixture.  A group with both quartiles beyond that fence is uniform and keeps its own.
+    """
+    sk = materialise(sk)
+    total = lambda *key: sk.groupBy(*key, "measure", "bucket").agg(F.sum("n").alias("n"))
+    names = ("total", "q1", "q3", "low", "high")
+    every = _limits(total()).select("measure", *[F.col(c).alias(f"all_{c}") for c in names])
+    sound = lambda c, above: F.expr(
+        f"{c}total >= {FEW} and not ({c}q1 <= {above}high and {c}q3 > {above}high)"
+        f" and not (measure = 'word_len_c' and {c}q1 < {above}low and {c}q3 >= {above}low)"
+    )
+    lang = _limits(total("lang"), "lang").join(F.broadcast(every), "measure")
+    for c in ("low", "high"):
+        lang = lang.withColumn(f"up_{c}", F.when(sound("", "all_"), F.col(c)).otherwise(F.col(f"all_{c}")))
+    lang = materialise(lang.select(F.col("lang").alias("_lang"), F.col("measure").alias("_measure"), "up_low", "up_high"))
+    on = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_measure"))
+    own = _limits(sk, "lang", "source").join(small(lang, BROADCAST_ROWS), on)
+    ok = sound("", "up_")
+    own = own.select("lang", "source", "measure", *[F.when(ok, F.col(c)).otherwise(F.col(f"up_{c}")).alias(c) for c in ("low", "high")])
+    return _in_columns(own)
+
+
 def _judged(measured: DataFrame, table: DataFrame) -> DataFrame:
     """measured with a boolean column _kept; a group without fences keeps what passes the base rules."""
     f = table.select(F.col("lang").alias("_fl"), F.col("source").alias("_fs"), *[c for c in table.columns if c not in ("lang", "source")])
@@ -151,22 +188,22 @@ def _judged(measured: DataFrame, table: DataFrame) -> DataFrame:
     return out.drop("_fl", "_fs", "_salt", "_slot", *[c for c in table.columns if c not in ("lang", "source")])
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, the measures, base_failed, kept."""
+def judge(docs: DataFrame, fenced=fences) -> DataFrame:
+    """One row per document: doc_id, the measures, base_failed, kept; fenced is :func:`fences` or :func:`pooled_fences`."""
     m = materialise(measures(docs.select("doc_id", "text", "lang", "source")).drop("text"))
-    out = _judged(m, materialise(fences(sketch(m))))
+    out = _judged(m, materialise(fenced(sketch(m))))
     return out.select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words",
                       base_failed().alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, whose document is kept.
+    """The rows of docs, with their columns, whose document is kept within the pooled fences.
 
     Measures are made once, without the texts; what is rejected leaves by an anti-join on doc_id and text hash.
     """
     own = docs.select("doc_id", "text", "lang", "source", F.xxhash64(text_of()).alias("_th"))
     m = materialise(measures(own).drop("text"))
-    out = _judged(m, materialise(fences(sketch(m)))).filter(~F.col("_kept"))
+    out = _judged(m, materialise(pooled_fences(sketch(m)))).filter(~F.col("_kept"))
     gone = materialise(out.select(F.col("doc_id").alias("_gd"), F.col("_th").alias("_gh")).distinct())
     on = F.col("doc_id").eqNullSafe(F.col("_gd")) & (F.xxhash64(text_of()) == F.col("_gh"))
     return docs.join(small(gone, BROADCAST_IDS), on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

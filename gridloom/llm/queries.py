@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"), quality.pooled_fences)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(read(spark, sf_dir, "conversations"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": op1_html_extraction,
         "op2_token_counts": op2_token_counts,
         "op3_quality_rules": op3_quality_rules,
+        "op3_quality_rules_pooled": op3_quality_rules_pooled,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_license_scans": op5_license_scans,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,

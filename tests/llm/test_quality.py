@@ -54,3 +54,16 @@ def test_keep_returns_rows_of_documents(spark):
     kept = sorted(str(r.doc_id) for r in quality.judge(docs).collect() if r.kept)
     assert sorted(str(r.doc_id) for r in out.collect()) == kept
     assert quality.judge(docs.limit(0)).count() == 0 and quality.keep(docs.limit(0)).count() == 0
+
+
+def test_pooled_fences_reject_junk_of_rare_and_mixed_sources(spark):
+    junk = lambda i: prose(i, 100).replace(" ", " ### ")
+    rows = [(i, prose(i, 100), "en", "plain") for i in range(240)]
+    rows += [(250, junk(250), "en", "rare"), (251, junk(251), "xx", "plain"), (252, prose(252, 100), "en", "rare"), (253, junk(253), None, None)]
+    rows += [(300 + i, prose(i, 100) if i < 30 else junk(i), "en", "mixed") for i in range(50)]
+    rows += [(400 + i, junk(400 + i), "de", "code") for i in range(50)]  # uniform: its own norm
+    docs = frame(spark, rows)
+    want = [r[0] for r in rows if r[0] not in (250, 251, 253) and not 330 <= r[0] < 400]
+    assert sorted(r.doc_id for r in quality.keep(docs).collect()) == want
+    got = {r.doc_id for r in quality.judge(docs, quality.pooled_fences).collect() if r.kept}
+    assert sorted(got) == want
