@@ -3,10 +3,10 @@
 The standard library's streaming parser turns a page into lines, one for each block of text, and counts
 the tags of each.  A line's text-to-tag ratio is high in running text and low in menus and link lists;
 lines inside boilerplate elements (navigation, forms, adverts, notices, comments and so on, by element
-name, role, class or id) have ratio 0.  The ratios are smoothed with a Gaussian and lines at or above a
+name, role, class or id) have ratio 0, and an inline element of that kind loses its own text only.  The ratios are smoothed with a Gaussian and lines at or above a
 threshold, LAMBDA standard deviations of the smoothed ratios but never above half their mean over running
-text, form the content clusters.  A cluster takes in the other lines of its article element (or of its
-parent element where a page has none), so that short paragraphs and headings stay with their text.
+text, form the content clusters.  A cluster takes in the other lines of its article element (or, outside of
+one, of its parent element), so that short paragraphs and headings stay with their text.
 
 Defined results: a null or empty page has the empty text; broken markup is read as far as the parser can, and a tag
 cut off by the end of the page is dropped;
@@ -64,12 +64,23 @@ class Lines(HTMLParser):
         self._begin()
 
     def _begin(self) -> None:
-        self.parts: list[str] = []
+        self.parts: list[tuple[str, bool]] = []
         self.tags = 0
         self.where = None
 
+    def _text(self) -> str:
+        """The line's text without that of inline furniture; if there is no other, all of it."""
+        if all(furniture or text.isspace() for text, furniture in self.parts):
+            return " ".join("".join(text for text, _ in self.parts).split())
+        out, gap = [], False
+        for text, furniture in self.parts:
+            if not furniture:
+                out.append(" " + text if gap and text[:1].isalnum() else text)
+            gap = furniture
+        return " ".join("".join(out).split())
+
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        text = self._text()
         if text:
             top = self.where or self.open[-1]
             self.done.append((text, self.tags, top[2], top[3], self.parent))
@@ -88,10 +99,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.parts.append((" ", False))
             return
         if tag in ("td", "th"):
-            self.parts.append(" ")
+            self.parts.append((" ", False))
         top = self.open[-1]
         self.number += 1
         furniture = top[2] or tag in FURNITURE or (tag == "header" and not top[3])
@@ -131,10 +142,10 @@ class Lines(HTMLParser):
         top = self.open[-1]
         if top[1]:
             return
-        if self.where is None and not data.isspace():
+        if not data.isspace() and (self.where is None or self.where[2] and not top[2]):
             self.where = top
             self.parent = next((x[4] for x in reversed(self.open[:-1]) if x[0] in BLOCK and x[0] not in ("p", "li")), 0)
-        self.parts.append(data)
+        self.parts.append((data, top[2]))
 
 
 def smoothed(x: list[float], sigma: float = SIGMA) -> list[float]:
@@ -169,11 +180,8 @@ def main_text(html: str | None) -> str:
     least = min(LAMBDA * spread, 0.5 * sum(running) / len(running))
     content = [bool(r) and s >= least for s, r in zip(soft, ratio, strict=True)]
     roots = {x[3] for x, c in zip(lines, content, strict=True) if c and x[3]}
-    if roots:
-        take = [not x[2] and x[3] in roots for x in lines]
-    else:
-        parents = {x[4] for x, c in zip(lines, content, strict=True) if c}
-        take = [c or (not x[2] and x[4] in parents) for x, c in zip(lines, content, strict=True)]
+    parents = {x[4] for x, c in zip(lines, content, strict=True) if c and not x[3]}
+    take = [not x[2] and (x[3] in roots if x[3] else c or x[4] in parents) for x, c in zip(lines, content, strict=True)]
     return "\n\n".join(x[0] for x, t in zip(lines, take, strict=True) if t)
 
 

@@ -41,3 +41,22 @@ def test_frame(spark, sf):
 
 def test_smoothing_keeps_constants():
     assert all(abs(x - 2.0) < 1e-12 for x in html.smoothed([2.0] * 9))
+
+
+def test_content_outside_of_articles_stays():
+    body = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in P)
+    teaser = "<article><p>A teaser card that is long enough to pass the threshold of the page by itself.</p></article>"
+    for page in (f"<div class='content'>{body}</div>{teaser}", f"{teaser}<div class='content'>{body}</div>"):
+        got = html.main_text(PAGE.replace("{0}", page)).split("\n\n")
+        assert set(WANT.split("\n\n")) <= set(got) and len(got) == 5
+
+
+def test_inline_furniture_loses_its_own_text_only():
+    long = "A long paragraph that goes on for quite a while, and then some more of it."
+    for p, want in (
+        (f"<span class='share'>Share</span> {long}", long), (f"<label>Note</label>{long}", long), (f"{long}<button>Send</button>", long),
+        ("The first half of it,<span class='ad'>buy now</span> and the <b class='promo'>cheap</b> second half; done.", "The first half of it, and the second half; done."),
+        ("One sentence that ends here.<button>Share</button>Another sentence follows.", "One sentence that ends here. Another sentence follows."),
+        ("A word<span class='ad'>buy now</span>, and more words that follow on it.", "A word, and more words that follow on it."),
+    ):
+        assert html.main_text(f"<article><h1>Title</h1><p>{p}</p><p><span class='share'>Share this</span></p></article>") == f"Title\n\n{want}"
