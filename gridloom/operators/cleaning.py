@@ -62,6 +62,14 @@ def remove_rings(bins: DataFrame, plane: str, shells: DataFrame, step: float, se
     return j.withColumn("removed", off).withColumn("intensity", F.col("intensity") - off).drop("sector", "shell", "excess")
 
 
+def ring_model_profiles(bins: DataFrame, plane: str, shells: DataFrame, step: float, sectors: int = 8) -> DataFrame:
+    """All-azimuth median of each plane and shell before (raw) and after (pooled) ring removal, with what was removed."""
+    one = remove_rings(bins, plane, shells, step, sectors)
+    both = bins.withColumn("removed", F.lit(0.0)).withColumn("model", F.lit("raw")).unionByName(one.withColumn("model", F.lit("pooled")))
+    g = both.filter(measured()).groupBy("volume_id", f"i{plane}", sh.shell(F.col("q"), 0.0, step).alias("shell"), "model")
+    return g.agg(F.count("*").alias("n"), F.expr("percentile(intensity, 0.5)").alias("median"), F.sum("removed").alias("removed"))
+
+
 def share_over_orbits(changed: DataFrame, volumes: DataFrame, ops: tuple[tuple[int, ...], ...], column: str) -> DataFrame:
     """Mean of a written column over the measured images of each bin, so that the change is symmetric."""
     i = lat.images(changed.filter(measured()).select(*BINKEY, column), volumes, ops)

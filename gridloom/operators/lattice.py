@@ -92,6 +92,27 @@ def region_census(regions: DataFrame, bins: DataFrame | None = None) -> DataFram
     )
 
 
+def hole_census(regions: DataFrame, volumes: DataFrame, large: tuple[int, ...] = (2_000, 10_000)) -> DataFrame:
+    """Per volume: number of regions, their bins and share of the grid, size percentiles, share of the bins in regions over each limit."""
+    n = F.col("n")
+    g = region_census(regions).groupBy("volume_id").agg(
+        F.count("*").alias("n_holes"), F.sum(n).alias("n_bins"), *[F.expr(f"percentile(n, {p / 100})").alias(f"size_p{p}") for p in (50, 90, 99, 100)],
+        *[(F.sum(F.when(n > x, n).otherwise(0)) / F.sum(n)).alias(f"share_over_{x}") for x in large],
+    )
+    size = hinted(volumes.select("volume_id", (F.col("nh") * F.col("nk") * F.col("nl")).alias("_all")))
+    return g.join(size, "volume_id").withColumn("share_of_grid", F.col("n_bins") / F.col("_all")).drop("_all")
+
+
+def largest_holes(regions: DataFrame, volumes: DataFrame, top: int = 5) -> DataFrame:
+    """The largest regions of each volume (the least label first on a tie) with their centres h, k, l."""
+    g = regions.groupBy("volume_id", "region").agg(F.count("*").alias("n"), *[F.avg(f"i{a}").alias(f"_{a}") for a in "hkl"])
+    w = Window.partitionBy("volume_id").orderBy(F.desc("n"), "region")
+    g = g.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+    axes = hinted(volumes.select("volume_id", *[f"{a}0" for a in "hkl"], *[f"d{a}" for a in "hkl"]))
+    at = [(F.col(f"{a}0") + F.col(f"_{a}") * F.col(f"d{a}")).alias(a) for a in "hkl"]
+    return g.join(axes, "volume_id").select("volume_id", "place", "region", "n", *at)
+
+
 def enclosed(bins: DataFrame, volumes: DataFrame) -> DataFrame:
     """Unmeasured bins with ``open``: whether their region touches a face of the box."""
     u = unmeasured(bins, volumes)

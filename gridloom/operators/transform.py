@@ -105,6 +105,25 @@ def sigma_outside_origin(pdf: DataFrame, share: float = 0.05) -> DataFrame:
     return m.join(d, "volume_id")
 
 
+def pair_signal(pdf: DataFrame, volumes: DataFrame, vectors: DataFrame, key: list[str], share: float = 0.05) -> DataFrame:
+    """The map at vectors (volume_id, key, x, y, z) inside it, trilinear and in σ; null in the origin's disk and where σ is 0."""
+    from .resample import at_points
+
+    as_bins = pdf.select("volume_id", F.col("ix").alias("ih"), F.col("iy").alias("ik"), F.col("iz").alias("il"), F.col("value").alias("intensity"), F.lit(True).alias("measured"))
+    grid, inside = volumes.select("volume_id", *[f"{p}{a}" for p in "nd" for a in "hkl"]), F.lit(True)
+    for a, x in zip("hkl", "xyz", strict=True):
+        grid = grid.withColumn(f"d{a}", 1 / (F.col(f"n{a}") * F.col(f"d{a}"))).withColumn(f"{a}0", -F.floor(F.col(f"n{a}") / 2) * F.col(f"d{a}"))
+        slack = 1e-6 * F.col(f"d{a}")
+        inside = inside & F.col(x).between(F.col(f"{a}0") - slack, F.col(f"{a}0") + (F.col(f"n{a}") - 1) * F.col(f"d{a}") + slack)
+    p = vectors.join(hinted(grid), "volume_id").filter(inside).select("volume_id", *key, *[F.col(x).alias(a) for a, x in zip("hkl", "xyz", strict=True)])
+    half = pdf.groupBy("volume_id").agg(F.least(F.max("x"), F.max("y"), F.max("z")).alias("_h"))
+    s = hinted(sigma_outside_origin(pdf, share).select("volume_id", "sigma").join(half, "volume_id"))
+    j = at_points(as_bins, grid, p, [*key, "h", "k", "l"]).join(s, "volume_id")
+    r = F.sqrt(F.col("h") ** 2 + F.col("k") ** 2 + F.col("l") ** 2)
+    seen = (r > share * F.col("_h")) & (F.col("sigma") > 0)
+    return j.select("volume_id", *key, F.col("h").alias("x"), F.col("k").alias("y"), F.col("l").alias("z"), F.when(seen, F.col("value") / F.col("sigma")).alias("in_sigma"))
+
+
 def strongest(pdf: DataFrame, n_sigma: float = 5.0) -> DataFrame:
     """Extrema of a map above n·σ outside the origin, one of each pair ±r, with length and height in σ."""
     from .lattice import local_extrema

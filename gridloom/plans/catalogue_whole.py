@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cleaning as cl
 from ..operators import resample as rs
-from .catalogue import KEY, _positions
-from .registry import flt, query, r6, tr
+from .catalogue import KEY, STEP, _holes, _positions
+from .catalogue_clean import _ring_shells
+from .catalogue_more import _differences
+from .registry import flt, lat, query, r6, tr
 
 
 def _every_bin(v):
@@ -32,3 +35,26 @@ def _(b, v):
 def _(b, v):
     p = b.filter("measured").select(*KEY, "h", "k", "l")
     return r6(flt.nearest_position(p, _positions(b)).select(*KEY, "position_id", "distance"), "distance")
+
+
+@query("dom_ring_profiles")
+def _(b, v):
+    return r6(cl.ring_model_profiles(b, "h", _ring_shells(b), STEP), "median", "removed")
+
+
+@query("dom_hole_sizes")
+def _(b, v):
+    c = lat.hole_census(lat.components(_holes(b), faces=False), v, (30, 100))
+    return r6(c, *[x for x in c.columns if x.startswith("s")])
+
+
+@query("dom_largest_holes")
+def _(b, v):
+    return r6(lat.largest_holes(lat.components(_holes(b), faces=False), v), "h", "k", "l")
+
+
+@query("dom_pair_values")
+def _(b, v):
+    p = rs.pair_vectors(_differences(b), 3).select("site", "site2", "x", "y", "z")  # the map reaches under 3 cells
+    p = b.select("volume_id").distinct().join(F.broadcast(p))
+    return r6(tr.pair_signal(tr.delta_pdf(b, v, "hann"), v, p, ["site", "site2"]), "x", "y", "z", "in_sigma")
