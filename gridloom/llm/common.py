@@ -12,17 +12,25 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared checkpoint folder and cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is set here only where none is
-    (a local session, as in tests).
+    A session of one machine that sets none, as in tests, gets a temporary one; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-ckpt-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="gridloom-ckpt-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared checkpoint folder and cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

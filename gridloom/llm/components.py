@@ -12,7 +12,7 @@ def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     r = both.join(least, "a").filter("b > a")
-    return r.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+    return r.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def components(links: DataFrame) -> DataFrame:
     e = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
         # a star forest: every node has one edge, and no node is both an end and a centre
-        ends = e.groupBy("a").agg(F.count("*").alias("n"))
-        if ends.filter("n > 1").limit(1).count() == 0 and e.join(ends.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0:
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("x")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("x")))
+        ends = ends.groupBy("node").agg(F.sum("x").alias("n"), F.min("x").alias("least"))
+        if ends.filter("n > 1 or n = 1 and least = 0").isEmpty():
             break
         e = materialise(_small_star(_large_star(e)))
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(

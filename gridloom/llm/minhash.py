@@ -4,24 +4,28 @@ A document is the multiset of its five-word shingles (a text of one to four word
 weights are the shingle counts, and the similarity of two documents is the weighted Jaccard similarity
 of those counts: the sum of the lesser over the sum of the greater weights.
 
-Signatures: an element of weight w owns the region [0, w) x [0, inf) of weight by rank.  A hash of the
-element throws darts into it at one a unit of area, the same for every document.  A document keeps the
-darts below its own rank limit, chosen so that about K ln K + 2K darts in all remain whatever its size;
-a hash deals each dart to one of K coordinates, and the earliest (least rank) of each coordinate is the
-signature.  Two documents agree on a coordinate with the probability of their weighted similarity.  If a
-coordinate got no dart, the limit is doubled for that document.
-
-Banded join: BANDS hashes of ROWS coordinates each.  In each bucket one document leads, the one that meets
-most others in all its buckets, and is compared with the rest, exactly, on whole texts; links make
-components.  A bucket whose other members are then all of one component is done.  In the rest, two members
-o and x of different components need a look only in two cases, because |o & x| is at most the lesser of
-|o & leader| and |x & leader| plus the elements both have beyond the leader's:
-
-* their sizes and their overlaps with the leader allow the similarity even so: such pairs are compared;
-* they share an element that the leader lacks: those elements make new, smaller buckets, and so on.
-
-So no link that the bands found is lost, and no bucket is expanded into all of its pairs but the later ones
-of up to FEW members, whose number of pairs has a fixed bound.
+Signatures: an element of weight w (any positive number) owns the region [0, w) x [0, inf) of weight by
+rank.  The region is cut into strips [0, 1), [1, 2), [2, 4), [4, 8) ... of weight and each strip into cells
+of area one; a hash of element, strip and cell throws its darts, the same for every document.  A document
+keeps the darts below its weights and below its own rank limit, chosen so that about K ln K + 2K darts in
+all remain whatever its size; a hash deals each dart to one of K coordinates, and the earliest (least rank)
+of each coordinate is the signature.  Two documents agree on a coordinate with the probability of their
+weighted similarity.  If a coordinate got no dart, the limit is doubled for that document.
+
+Banded join: BANDS hashes of ROWS coordinates each.  Pairs are compared exactly, on whole texts; links make
+components.  In a bucket of up to FEW members every pair of different components is compared (their number
+has a fixed bound).  In a larger one the member that meets most others leads and is compared with the rest.
+A bucket whose members are then of one component is done.  In the rest, let p be the leader, M(x) what x
+lacks of p and E(x) what x has beyond p.  Two members of different components are as similar as asked only
+
+* if they share enough of E, as |x & y| is at most the lesser of |x & p| and |y & p| plus |E(x) & E(y)|; or
+* where that demands nothing (members smaller than p), if they share enough of M and E together: for
+  |x & y| = |p| - |M(x)| - |M(y)| + |M(x) & M(y)| + |E(x) & E(y)|, and one of the two isn't linked to p.
+
+So each member writes its differences without as many of the most frequent ones as the demand allows (a sample
+of SAMPLE members of each leader tells which are frequent; any one order would do), and equal differences make
+the buckets of the next level, where FEW is four times as large.  No link that the bands found is lost, and no
+large bucket is expanded into all of its pairs.
 
 Chances: a pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS, 0.99993 at 0.8.
 
@@ -38,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small, text_of, words_of
@@ -50,16 +54,20 @@ BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 #: Candidate lists of up to this many document ids are broadcast to pick texts; longer ones join by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket of elements whose cross pairs (496 at most) are compared at once.
+#: Members of a bucket whose pairs (496 at most) are all compared, at the first level.
 FEW = 32
-
-
-def units(flat: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the unit elements of each row: (shingle, occurrence) pairs, sorted by row and hash.
-
-    The k-th occurrence of a shingle in a row is an element of weight one, so that set operations on units
-    are multiset operations on shingles.
-    """
+#: Buckets in which a leader stands under another one before that one leads its buckets too.
+AGAIN = 2
+#: Pairs of one leader in one slot of the comparing join.
+SLOT = 4_000
+#: Members of a leader whose differences set the order of all.
+SAMPLE = 64
+#: Pairs whose differences are held at once while they are compared.
+TOGETHER = 256
+
+
+def shingled(flat: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every shingle of each row, sorted by row and hash."""
     sizes = np.diff(offsets)
     row, place = places(offsets)
     h = windows(flat, width, 2)
@@ -70,11 +78,31 @@ def units(flat: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[
         own = np.array([windows(flat[offsets[i] : offsets[i + 1]], int(sizes[i]), 2)[0] for i in short], np.uint64)
         h, r = np.concatenate([h, own]), np.concatenate([r, short])
     order = np.lexsort((h, r))
-    h, r = h[order], r[order]
+    return r[order], h[order]
+
+
+def _first_of_run(r: np.ndarray, h: np.ndarray) -> np.ndarray:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.zeros(0, np.int64)
-    nth = (np.arange(len(h)) - start).astype(np.uint64)
+    return np.flatnonzero(new)
+
+
+def weighted(flat: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, count) of the distinct shingles of each row."""
+    r, h = shingled(flat, offsets, width)
+    at = _first_of_run(r, h)
+    return r[at], h[at], np.diff(np.append(at, len(h))).astype(np.float64)
+
+
+def units(flat: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the unit elements of each row: (shingle, occurrence) pairs, sorted by row and hash.
+
+    The k-th occurrence of a shingle in a row is an element of weight one, so that set operations on units
+    are multiset operations on shingles.
+    """
+    r, h = shingled(flat, offsets, width)
+    at = _first_of_run(r, h)
+    nth = (np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))).astype(np.uint64)
     with np.errstate(over="ignore"):
         e = mix(h + nth * MULTIPLIER)
     order = np.lexsort((e, r))
@@ -85,27 +113,42 @@ def _poisson_cdf() -> np.ndarray:
     return np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
 
-def signatures(row: np.ndarray, e: np.ndarray, n: int, k: int) -> np.ndarray:
-    """(n, k) least dart ranks of n documents; infinite for a document without elements."""
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index repeated n[index] times, 0 .. n[index] - 1)."""
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _unit_interval(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+def signatures(row: np.ndarray, e: np.ndarray, w: np.ndarray, n: int, k: int) -> np.ndarray:
+    """(n, k) least dart ranks of n documents with elements e of weights w; infinite without elements."""
     cdf = _poisson_cdf()
-    weight = np.bincount(row, minlength=n)
+    total = np.bincount(row, w, minlength=n)
     sig = np.full(n * k, np.inf)
-    limit = np.where(weight > 0, (k * math.log(k) + 2 * k) / np.maximum(weight, 1), 0.0)
-    todo = weight > 0
+    limit = np.where(total > 0, (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300), 0.0)
+    todo = total > 0
+    # strips of weight: [0, 1), then [2**(s-1), 2**s) for s = 1, 2, ... as far as the weight reaches
+    strips = np.where(w > 1, np.ceil(np.log2(np.maximum(w, 1))), 0).astype(np.int64) + 1
     with np.errstate(over="ignore"):
         while todo.any():
-            r, x = row[todo[row]], e[todo[row]]
-            cells = np.ceil(limit[r]).astype(np.int64)
-            c = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
-            r, x = np.repeat(r, cells), np.repeat(x, cells)
-            x = mix(x ^ mix(c.astype(np.uint64) + np.uint64(0x1D)))
-            darts = np.searchsorted(cdf, (x >> np.uint64(11)) * 2.0**-53)
-            d = np.arange(darts.sum()) - np.repeat(np.cumsum(darts) - darts, darts)
-            r, x, c = np.repeat(r, darts), np.repeat(x, darts), np.repeat(c, darts)
-            x = mix(x + (d.astype(np.uint64) + np.uint64(1)) * MULTIPLIER)
-            rank = c + (x >> np.uint64(11)) * 2.0**-53
-            low = rank < limit[r]
-            r, x, rank = r[low], x[low], rank[low]
+            open_ = np.flatnonzero(todo[row])
+            i, s = _spread(strips[open_])
+            i = open_[i]
+            low = np.where(s > 0, 2.0 ** (s - 1), 0.0)
+            wide = np.where(s > 0, low, 1.0)
+            j, c = _spread(np.ceil(limit[row[i]] * wide).astype(np.int64))  # cells of area one along the rank
+            i, s, low, wide = i[j], s[j], low[j], wide[j]
+            x = mix(e[i] ^ mix((c * 64 + s).astype(np.uint64) + np.uint64(0x1D)))
+            j, d = _spread(np.searchsorted(cdf, _unit_interval(x)))
+            i, low, wide, c = i[j], low[j], wide[j], c[j]
+            x = mix(x[j] + (d.astype(np.uint64) + np.uint64(1)) * MULTIPLIER)
+            rank = (c + _unit_interval(x)) / wide
+            place = low + wide * _unit_interval(mix(x + np.uint64(0x5B)))
+            hit = (rank < limit[row[i]]) & (place < w[i])
+            x, rank, r = x[hit], rank[hit], row[i[hit]]
             at = r * k + ((mix(x ^ MULTIPLIER) >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
             np.minimum.at(sig, at, rank)
             todo = todo & np.isinf(sig.reshape(n, k)).any(axis=1)
@@ -120,16 +163,17 @@ def _signed(bands: int, rows: int):
         for b in batches:
             for at, end, offsets, flat in slices(b.column(2)):
                 n = end - at
-                r, e = units(flat, offsets)
-                sig = signatures(r, e, n, k).view(np.uint64).reshape(n, bands, rows)
+                r, e, w = weighted(flat, offsets)
+                sig = signatures(r, e, w, n, k).view(np.uint64).reshape(n, bands, rows)
                 key = np.tile(np.arange(bands, dtype=np.uint64), (n, 1))
                 with np.errstate(over="ignore"):
                     for j in range(rows):
                         key = mix(key * MULTIPLIER + sig[:, :, j])
                 some = np.diff(offsets) > 0
+                weight = np.bincount(r, w, minlength=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(np.bincount(r, minlength=n), pa.int64()),
+                        b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(weight, pa.int64()),
                         lists(key[some].view(np.int64).ravel(), np.where(some, bands, 0), pa.int64()),
                     ],
                     names=["doc_id", "ck", "weight", "bands"],
@@ -148,16 +192,21 @@ def _unit_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        both, extra = [], []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.asarray(x.values), np.asarray(y.values)
-            more = np.setdiff1d(y, x, assume_unique=True)
-            both.append(len(y) - len(more))
-            extra.append(more)
-        beyond = lists(np.concatenate([*extra, np.zeros(0, np.int64)]), np.array([len(x) for x in extra], np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(both, pa.int64()), b.column(4), b.column(5), beyond], names=["a", "b", "both", "na", "nb", "extra"]
-        )
+        for at in range(0, len(b), TOGETHER):
+            part = b.slice(at, TOGETHER)
+            both, more, less = [], [], []
+            for x, y, led in zip(part.column("ua"), part.column("ub"), part.column("led").to_pylist(), strict=True):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                both.append(n)
+                none = x[:0]
+                more.append(np.setdiff1d(y, x, assume_unique=True) if led else none)
+                less.append(np.setdiff1d(x, y, assume_unique=True) if led else none)
+            array = lambda parts: lists(np.concatenate(parts), np.array([len(x) for x in parts], np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in ("a", "b", "led")), pa.array(both, pa.int64()), part.column("na"), part.column("nb"), array(more), array(less)],
+                names=["a", "b", "led", "both", "na", "nb", "more", "less"],
+            )
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -170,90 +219,149 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return d.mapInArrow(_signed(bands, rows), "doc_id long, ck string, weight long, bands array<bigint>")
 
 
-def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of doc_ids with both (size of the intersection), na, nb, and extra (what b has beyond a)."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        small(materialise(ids), BROADCAST_IDS), "doc_id", "left_semi"
-    )
-    u = texts.select("doc_id", word_hashes(text_of()).alias("_h")).mapInArrow(_unit_lists, "node long, units array<bigint>")
-    p = pairs.join(u.select(F.col("node").alias("b"), F.col("units").alias("ub")), "b")
-    p = p.join(u.select(F.col("node").alias("a"), F.col("units").alias("ua")), "a")
-    p = p.select("a", "b", "ua", "ub", F.size("ua").cast("long").alias("na"), F.size("ub").cast("long").alias("nb"))
-    return materialise(p.mapInArrow(_compared, "a long, b long, both long, na long, nb long, extra array<bigint>"))
+def unit_lists(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, units): the sorted unit elements of the documents in ids (node)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small(ids, BROADCAST_IDS), "node", "left_semi")
+    return texts.select("node", word_hashes(text_of()).alias("_h")).mapInArrow(_unit_lists, "node long, units array<bigint>")
+
+
+def compared(pairs: DataFrame, u: DataFrame) -> DataFrame:
+    """Pairs (a, b, led) with both (size of the intersection), na, nb; where led, what b has beyond a and lacks of it.
+
+    The units of a leader of very many pairs are dealt to as many slots as those pairs need.
+    """
+    slots = pairs.groupBy("a").agg((F.count("*") / SLOT).cast("int").alias("_most"))
+    left = slots.join(u, F.col("a") == F.col("node")).select("a", F.col("units").alias("ua"), F.explode(F.sequence(F.lit(0), "_most")).alias("_s"))
+    p = pairs.join(slots, "a").withColumn("_s", F.pmod(F.xxhash64("b"), F.col("_most") + 1).cast("int"))
+    p = p.join(u.select(F.col("node").alias("b"), F.col("units").alias("ub")), "b").join(left, ["a", "_s"])
+    p = p.select("a", "b", "led", "ua", "ub", F.size("ua").cast("long").alias("na"), F.size("ub").cast("long").alias("nb"))
+    return p.mapInArrow(_compared, "a long, b long, led boolean, both long, na long, nb long, more array<bigint>, less array<bigint>")
 
 
 def _leaders(buckets: DataFrame) -> DataFrame:
-    """(key, a): the member of each bucket that meets most others over all its buckets; the least on a tie."""
-    n = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    met = buckets.join(n, "key").groupBy("node").agg(F.sum("n").alias("met"))
+    """(key, a): the document that leads each bucket.
+
+    First the member that meets most others over all its buckets, the least on a tie.  If that one stands under
+    another leader in AGAIN buckets or more, the one of those that meets most leads in its place: a leader need not be
+    a member, and so buckets of one group have one leader instead of many.
+    """
+    met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
     top = F.max(F.struct("met", (-F.col("node")).alias("m"), F.col("node").alias("a")))
-    return buckets.join(met, "node").groupBy("key").agg(top.alias("t")).select("key", F.col("t.a").alias("a"))
+    rows = buckets.join(met, "node").select("key", "node", "met")
+    first = rows.groupBy("key").agg(top.alias("t")).select("key", F.col("t.a").alias("a"), F.col("t.met").alias("met"))
+    first = materialise(first)
+    # only leaders themselves can hand a bucket on
+    under = buckets.select("key", "node").join(first.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    under = under.join(first, "key").filter("a <> node").groupBy("node", "a").agg(F.max("met").alias("met"), F.count("*").alias("times"))
+    above = under.filter(f"times >= {AGAIN}").groupBy("node").agg(F.max(F.struct("met", (-F.col("a")).alias("m"), F.col("a").alias("up"))).alias("t"))
+    above = above.select(F.col("node").alias("a"), F.col("t.up").alias("up"), F.col("t.met").alias("more"))
+    return first.join(above, "a", "left").select("key", F.expr("case when more > met then up else a end").alias("a"))
+
 
+def _labelled(df: DataFrame, label: DataFrame | None) -> DataFrame:
+    """df (with a column node) with its label: that of its component, else itself."""
+    if label is None:
+        return df.withColumn("label", F.col("node"))
+    return df.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-def _some(df: DataFrame) -> bool:
-    return df.limit(1).count() > 0
 
+def _open(df: DataFrame) -> DataFrame:
+    """df (key, node, weight, label) where its bucket holds several labels, with the number n of its members."""
+    n = df.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x < _y")
+    return df.join(n.select("key", "n"), "key")
 
-def _grouped(docs: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame | None:
-    """(node, label) of linked nodes, from buckets (key, node, weight); null if nothing is linked.
 
-    Each level compares the leaders of its buckets, and the close pairs that the level before left over, in
-    one pass over the texts they name; components are made anew only if that found links.
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, weight) of the differences that each member writes.
+
+    The most frequent ones, by the leader's sample, are left out as far as what it must share allows; ties by hash.
     """
-    links = label = near = None
-    alike = F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9
-
-    def members(df: DataFrame) -> DataFrame:
-        """df with labels as they are now, of buckets that hold several."""
-        if label is None:
-            d = df.withColumn("label", F.col("node"))
-        else:
-            d = df.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = d.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        return d.join(open_, "key")
-
-    level = 0
-    while (more := _some(buckets)) or near is not None:
-        if level == 0:  # with bands, the document that meets most others leads
-            led = materialise(buckets.join(_leaders(buckets), "key"))
-        else:
-            # buckets of up to FEW members are settled at once; of larger ones any member leads
-            size = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"))
-            sized = materialise(buckets.join(size, "key"))
-            few = sized.filter(f"n <= {FEW}").select("key", "node", "label")
-            x, y = (few.select("key", F.col("node").alias(f"node{i}"), F.col("label").alias(f"label{i}")) for i in (1, 2))
-            at_once = x.join(y, "key").filter("node1 < node2 and label1 <> label2").select(F.col("node1").alias("a"), F.col("node2").alias("b"))
-            near = at_once if near is None else near.unionByName(at_once)
-            led = sized.filter(f"n > {FEW}").select("key", "node", "weight", "a")
-        pairs = led.filter("a <> node").select("a", F.col("node").alias("b"))
-        pairs = materialise((pairs if near is None else pairs.unionByName(near)).distinct())
-        found = compared(docs, pairs)
-        new = found.filter(alike).select("a", "b")
-        if _some(new):
-            links = materialise(new if links is None else links.unionByName(new))
+    for b in batches:
+        for at in range(0, len(b), TOGETHER):
+            part = b.slice(at, TOGETHER)
+            keys, counts = [], []
+            columns = [part.column(c) for c in ("a", "kind", "need", "e", "often", "times")]
+            for a, kind, need, e, often, times in zip(*columns, strict=True):
+                need = need.as_py()
+                e, often, times = (np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in (e, often, times))
+                rank = np.zeros(len(e), np.int64)
+                if len(often):
+                    k = np.minimum(np.searchsorted(often, e), len(often) - 1)
+                    rank = np.where(often[k] == e, times[k], 0)
+                with np.errstate(over="ignore"):
+                    salt = mix(np.uint64(a.as_py() % 2**64) * MULTIPLIER + np.uint64(kind.as_py()))
+                    h = mix(e.view(np.uint64) ^ salt)
+                h = h[np.lexsort((h, rank))[: max(0, len(e) - need + 1)]]
+                keys.append(h.view(np.int64))
+                counts.append(len(h))
+            i = pa.array(np.repeat(np.arange(len(part)), counts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys), pa.int64()), *(part.column(c).take(i) for c in ("node", "weight"))],
+                names=["key", "node", "weight"],
+            )
+
+
+def _differences(found: DataFrame, label: DataFrame | None, t: float) -> DataFrame:
+    """(key, node, weight): the buckets of the next level, from the compared pairs of leaders."""
+    d = found.filter("led").select("a", F.col("b").alias("node"), "both", "na", F.col("nb").alias("weight"), "more", "less")
+    d = _labelled(d, label)
+    # done where all members are of one component: the leader itself was compared with each of them
+    ends = d.groupBy("a").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.min("weight").alias("least")).filter("_x < _y")
+    d = materialise(d.join(ends.select("a", "least"), "a"))
+    # the differences that are frequent among SAMPLE members of each leader: they only set the order, any would do
+    order = Window.partitionBy("a").orderBy(F.xxhash64("node"))
+    some = d.withColumn("_k", F.row_number().over(order)).filter(f"_k <= {SAMPLE}")
+    often = some.select("a", F.explode(F.concat("more", F.transform("less", F.bitwise_not))).alias("e")).groupBy("a", "e").agg(F.count("*").alias("n"))
+    often = often.filter("n > 1").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("e", "n"))).alias("o"))
+    d = d.join(often, "a", "left").withColumn("often", F.col("o.e")).withColumn("times", F.col("o.n"))
+    share = t / (1 + t)
+    # cost: linked to the leader if it is at most ``_t``; two members must share the sum of their costs less _t
+    d = d.withColumn("_c", (1 - share) * (F.col("na") - F.col("both")) + share * (F.col("weight") - F.col("both")))
+    d = d.withColumn("_t", (1 - 2 * share) * F.col("na"))
+    # what a partner, of t times this size and of the least size at least, must share of E; one that is linked to
+    # the leader has only partners that are not, which have fewer than share * (size + na) elements of it
+    beyond = F.ceil(share * (F.col("weight") + F.greatest(t * F.col("weight"), F.col("least"))) - F.col("both") - 1e-6)
+    beyond = F.when(F.col("_c") <= F.col("_t"), F.greatest(beyond, F.ceil(share * (F.col("weight") - F.col("na")) - 1e-6))).otherwise(beyond)
+    either = F.ceil(F.when(F.col("_c") > F.col("_t"), (1 + t) * (F.col("_c") - F.col("_t"))).otherwise(F.col("_c")) - 1e-6)
+    # a small enough partner may share nothing of E; of two such members, one that isn't linked has a partner no larger than p
+    reach = F.least(F.expr(f"{1 / share!r} * both - weight + 1e-6"), F.when(F.col("_c") > F.col("_t"), F.col("na")).otherwise(F.lit(2.0**62)))
+    near = (reach >= F.greatest("least", t * F.col("weight"))) & ((F.col("_c") > F.col("_t")) | (F.col("weight") <= F.col("na")))
+    need = lambda n: F.greatest(n, F.lit(1)).cast("long").alias("need")
+    own = ("a", "node", "weight", "often", "times")
+    rows = d.select(*own, F.lit(0).alias("kind"), need(beyond), F.col("more").alias("e")).unionByName(
+        d.filter(near).select(*own, F.lit(1).alias("kind"), need(either), F.concat("more", F.transform("less", F.bitwise_not)).alias("e"))
+    )
+    return rows.filter("size(e) >= need").mapInArrow(_prefixes, "key long, node long, weight long")
+
+
+def _grouped(docs: DataFrame, buckets: DataFrame, t: float) -> DataFrame | None:
+    """(node, label) of linked nodes, from buckets (key, node, weight); null if nothing is linked."""
+    u = materialise(unit_lists(docs, materialise(buckets.select("node").distinct())))
+    label, links, few = None, None, FEW
+    while True:
+        b = materialise(_open(_labelled(buckets, label)))
+        count = b.agg(F.count("*").alias("rows"), F.count(F.when(F.col("n") > few, 1)).alias("large")).first()
+        if not count["rows"]:
+            return label if links is None else components(links)
+        x, y = (b.filter(f"n <= {few}").select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "weight", "label")]) for i in (1, 2))
+        sizes = F.expr(f"least(weight1, weight2) >= {t} * greatest(weight1, weight2) - 1e-6")
+        pairs = x.join(y, "key").filter("node1 < node2 and label1 <> label2").filter(sizes)
+        pairs = pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b"), F.lit(False).alias("led"))
+        if count["large"]:
+            large = b.filter(f"n > {few}")
+            led = large.join(_leaders(large), "key").filter("a <> node")
+            pairs = pairs.unionByName(led.select("a", F.col("node").alias("b"), F.lit(True).alias("led")))
+        pairs = materialise(pairs.groupBy("a", "b").agg(F.max("led").alias("led")))
+        found = materialise(compared(pairs, u))
+        new = found.filter(F.col("both") >= t * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        if not count["large"]:
+            return components(links)
+        if label is None:  # later levels are pruned by the components of the first one
             label = components(links)
-        near = None
-        if not more:
-            break
-        level += 1
-        rest = led.filter("a <> node").join(found.select("a", F.col("b").alias("node"), "both"), ["a", "node"])
-        rest = materialise(members(rest).select("key", "a", "node", "weight", "both", "label"))
-        if not _some(rest):
-            break
-        # what shares nothing beyond the leader: the other's weight is at most ``reach``
-        r = rest.withColumn("reach", (1 + similarity) / similarity * F.col("both") - F.col("weight") + 1e-6)
-        r = r.join(rest.groupBy("key").agg(F.min("weight").alias("least")), "key").filter("reach >= least")
-        x, y = (r.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "weight", "reach", "label")]) for i in (1, 2))
-        near = x.join(y, "key").filter("node1 < node2 and label1 <> label2 and weight2 <= reach1 and weight1 <= reach2")
-        near = materialise(near.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct())
-        near = near if _some(near) else None
-        # elements beyond the leader make the next buckets
-        beyond = rest.select("a", "node", "weight", "label").distinct().join(found.select("a", F.col("b").alias("node"), "extra"), ["a", "node"])
-        beyond = beyond.select("node", "weight", "label", F.explode("extra").alias("e"), "a").withColumn("key", F.xxhash64("a", "e"))
-        several = beyond.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        buckets = materialise(beyond.join(several, "key").select("key", "node", "weight", "label"))
-    return label
+            links = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        buckets = _differences(found, label, t)
+        few *= 4
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

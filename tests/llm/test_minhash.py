@@ -75,17 +75,40 @@ def test_real_table_matches_brute_force(spark, sf):
 
 def test_signature_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(3)
+    one = np.ones
     for share in (0.3, 0.8):
         common, own = int(600 * share), int(600 * (1 - share))
         pool = rng.integers(0, 2**63, common + 2 * own).astype(np.uint64)
         a, b = pool[: common + own], np.concatenate([pool[:common], pool[common + own :]])
         row = np.repeat([0, 1], [len(a), len(b)])
-        sig = minhash.signatures(row, np.concatenate([a, b]), 2, 2000)
+        sig = minhash.signatures(row, np.concatenate([a, b]), one(len(row)), 2, 2000)
         assert abs((sig[0] == sig[1]).mean() - common / (common + 2 * own)) < 0.04
-    tiny = minhash.signatures(np.array([0, 2]), pool[:2], 3, 120)
+    tiny = minhash.signatures(np.array([0, 2]), pool[:2], one(2), 3, 120)
     assert np.isfinite(tiny[[0, 2]]).all() and np.isinf(tiny[1]).all()
 
 
+def test_signatures_take_any_positive_weights():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for scale in (0.01, 1.0, 40.0):  # whole numbers or not, far below or above one
+        w = np.stack([rng.gamma(0.7, scale, 300), rng.gamma(0.7, scale, 300)]) + 1e-9
+        w[1, :200] = w[0, :200]
+        sig = minhash.signatures(np.repeat([0, 1], 300), np.tile(pool, 2), w.ravel(), 2, 3000)
+        want = w.min(axis=0).sum() / w.max(axis=0).sum()
+        assert abs((sig[0] == sig[1]).mean() - want) < 0.04
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    # one base, many edited copies and copies of copies: buckets above FEW go by leaders and differences
+    monkeypatch.setattr(minhash, "FEW", 2)
+    base = prose(500, 150)
+    rows = [(i, edited(base, 1 + i % 7, i)) for i in range(60)]
+    rows += [(100 + i, edited(rows[i][1], 3, 900 + i)) for i in range(20)]
+    rows += [(200 + i, " ".join(rows[i][1].split()[: 132 + i % 9])) for i in range(20)]  # smaller than their leader
+    got = {r.doc_id: r.class_id for r in minhash.classes(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, x) for x in range(101, 140)] + [(50, 50)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
