@@ -4,7 +4,9 @@ A text is marked (spaces become the mark, one mark in front) and cut into marked
 what follows it up to the next mark or line feed, which no piece crosses.  The distinct marked words of a
 batch are sorted, which lays out their trie, and walked depth-first: each step adds one character and
 computes the forward table of the longer prefix from those of its prefixes, so words that begin alike share
-all forward scores of their common prefix.  Memory is one path of the trie and one batch's distinct words.
+all forward scores of their common prefix.  Each prefix also carries its state in an automaton of all pieces,
+which knows the pieces that end there, so these look-ups are shared too.  Memory is one path of the trie and
+one batch's distinct words.
 
 Two kinds of model, one walk:
 
@@ -43,7 +45,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Distinct words remembered from batch to batch in a worker; beyond it the memory starts anew.
-REMEMBER = 300_000
+REMEMBER = 600_000
 #: Texts encoded at a time.
 STRIDE = 1000
 
@@ -62,15 +64,50 @@ class Vocabulary:
         self.text = {i: p for p, (i, _) in pieces.items()}
         spelling = {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.spelled = defaultdict(bytes, spelling).__getitem__
-        # pieces read from their last character to their first, as a trie of dicts; "" holds (id, length, score)
-        self.ends: dict = {}
-        for p, (i, score) in pieces.items():
-            node = self.ends
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = (i, len(p), score)
+        self._automaton()
         self.pair: dict[int, bool] = {}
 
+    def _automaton(self) -> None:
+        """States of the pieces' trie: steps by character, the longest proper suffix state, the pieces that end there.
+
+        A piece is (id, length, score, id as bytes); those of a state are listed longest first.
+        """
+        self.steps: list[dict[str, int]] = [{}]
+        own: list[tuple | None] = [None]
+        for p, (i, score) in self.pieces.items():
+            at = 0
+            for c in p:
+                to = self.steps[at].get(c)
+                if to is None:
+                    to = self.steps[at][c] = len(self.steps)
+                    self.steps.append({})
+                    own.append(None)
+                at = to
+            own[at] = (i, len(p), score, array("i", [i]).tobytes())
+        self.suffix, self.ends = [0] * len(own), [()] * len(own)
+        level = [(0, c, s) for c, s in self.steps[0].items()]
+        while level:  # by length, so that suffixes come first
+            below = []
+            for before, c, s in level:
+                to = self.suffix[before]
+                while before and c not in self.steps[to] and to:
+                    to = self.suffix[to]
+                self.suffix[s] = self.steps[to].get(c, 0) if before else 0
+                rest = self.ends[self.suffix[s]]
+                self.ends[s] = (own[s], *rest) if own[s] else rest
+                below += [(s, d, x) for d, x in self.steps[s].items()]
+            level = below
+        # steps by way of suffixes are remembered as they are met
+        self.known: list[dict[str, int]] = [dict(x) for x in self.steps]
+
+    def step(self, state: int, c: str) -> int:
+        """The state after one more character."""
+        at = state
+        while at and c not in self.steps[at]:
+            at = self.suffix[at]
+        to = self.known[state][c] = self.steps[at].get(c, 0)
+        return to
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         import sentencepiece
@@ -100,71 +137,62 @@ class Vocabulary:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether merging pieces a + b from characters gives the pair (a, b) again."""
-        if len(self.pair) > 300_000:
+        if len(self.pair) > 600_000:
             self.pair.clear()
         x, y = self.text[a], self.text[b]
         ok = self.pair[a << 32 | b] = self.merged(x + y) == [x, y]
         return ok
 
-    def raw(self, c: str) -> list[int]:
-        return [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unk]
+    def raw(self, c: str) -> bytes:
+        return array("i", [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unk]).tobytes()
 
 
 def walk(words: list[str], v: Vocabulary) -> list[bytes]:
     """Ids (32-bit, as bytes) of each of the sorted, distinct words, by one depth-first pass over their trie."""
     out: list[bytes] = []
-    # forward table by prefix length: score, and the last piece (id, length, score) or None for a lone character
+    # forward table by prefix length: state, score, last piece (None for a lone character), and all ids so far
+    state: list[int] = [0]
     score: list[float] = [0.0]
     back: list[tuple | None] = [None]
+    ids: list[bytes] = [b""]
     before = ""
-    ends, pair, unigram = v.ends, v.pair, v.kind == "unigram"
+    known, ends, pair, unigram = v.known, v.ends, v.pair.get, v.kind == "unigram"
     for w in words:
         n = 0
         for a, b in zip(before, w, strict=False):
             if a != b:
                 break
             n += 1
-        del score[n + 1 :], back[n + 1 :]
-        for end in range(n + 1, len(w) + 1):
-            found, node, at = [], ends, end - 1
-            while at >= 0:
-                node = node.get(w[at])
-                if node is None:
-                    break
-                if "" in node:
-                    found.append(node[""])
-                at -= 1
-            best, how = -math.inf, None
+        end = n + 1
+        del state[end:], back[end:], ids[end:], score[end:]
+        s = state[n]
+        for c in w[n:] if n else w:
+            to = known[s].get(c)
+            s = v.step(s, c) if to is None else to
+            how = None
             if unigram:
-                for p in found:
-                    s = score[end - p[1]] + p[2]
-                    if s > best:
-                        best, how = s, p
+                best = -math.inf
+                for p in ends[s]:
+                    x = score[end - p[1]] + p[2]
+                    if x > best or x == best and p[1] < how[1]:
+                        best, how = x, p
+                score.append(best if how else score[end - 1] - 1e6)
             else:
-                for p in reversed(found):  # the longest first: a shorter one that also follows can't be on the path
+                for p in ends[s]:  # the longest first: a shorter one that also follows can't be on the path
                     last = back[end - p[1]]
                     if last is not None:
-                        ok = pair.get(last[0] << 32 | p[0])
+                        ok = pair(last[0] << 32 | p[0])
                         if not (v.follows(last[0], p[0]) if ok is None else ok):
                             continue
-                    best, how = 0.0, p
+                    how = p
                     break
             # where no piece ends, the character stands alone, as bytes
-            score.append(best if how else score[end - 1] - 1e6)
+            ids.append(ids[end - how[1]] + how[3] if how else ids[end - 1] + v.raw(c))
+            state.append(s)
             back.append(how)
+            end += 1
         before = w
-        ids: list[int] = []
-        end = len(w)
-        while end:
-            p = back[end]
-            if p:
-                ids.append(p[0])
-                end -= p[1]
-            else:
-                ids.extend(reversed(v.raw(w[end - 1])))
-                end -= 1
-        ids.reverse()
-        out.append(array("i", ids).tobytes())
+        out.append(ids[-1])
     return out
 
 
@@ -172,20 +200,38 @@ def marked(text: str) -> str:
     return (MARK + text.replace(" ", MARK)) if text else ""
 
 
-def encode_texts(texts: list[str | None], v: Vocabulary, memory: dict[str, bytes]) -> pa.ListArray:
-    """Ids of each text; memory holds words seen before."""
+class Memory(dict):
+    """Ids of the words seen before, and those words that decoding does not give back."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__()
+        self.v, self.lost = v, set()
+
+    def learn(self, units: set[str]) -> None:
+        new = sorted(units - self.keys())
+        if len(self) + len(new) > REMEMBER:
+            self.clear()
+            self.lost.clear()
+            new = sorted(units)
+        ids = walk(new, self.v)
+        self.update(zip(new, ids, strict=True))
+        spelled = self.v.spelled
+        for w, i in zip(new, ids, strict=True):
+            if b"".join(map(spelled, array("i", i))) != w.encode("utf-8", "surrogatepass"):
+                self.lost.add(w)
+
+
+def encode_texts(texts: list[str | None], memory: Memory) -> tuple[pa.ListArray, list[bool]]:
+    """Ids of each text, and whether decoding them gives it back: that is so if it is for each word, decoded once."""
     cut = [None if t is None else UNIT.findall(marked(t)) for t in texts]
-    new = sorted({u for c in cut if c for u in c} - memory.keys())
-    if len(memory) + len(new) > REMEMBER:
-        memory.clear()
-        new = sorted({u for c in cut if c for u in c})
-    memory.update(zip(new, walk(new, v), strict=True))
+    memory.learn(set().union(*filter(None, cut)))
     look = memory.__getitem__
     ids = [b"" if c is None else b"".join(map(look, c)) for c in cut]
+    exact = [not (memory.lost and c and not memory.lost.isdisjoint(c)) for c in cut]
     offsets = np.zeros(len(ids) + 1, np.int32)
     np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
     values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([c is None for c in cut]))
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([c is None for c in cut])), exact
 
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
@@ -204,11 +250,11 @@ def encode(df: DataFrame, model: str | None = None, column: str = "text", out: s
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, memory = _loaded(path), {}
+        memory = Memory(_loaded(path))
         for b in batches:
             for at in range(0, len(b), STRIDE):
                 part = b.slice(at, STRIDE)
-                ids = encode_texts(part.column(0).to_pylist(), v, memory)
+                ids, _ = encode_texts(part.column(0).to_pylist(), memory)
                 yield pa.RecordBatch.from_arrays([ids, part.column(1)], names=["ids", "row"])
 
     # the other columns travel in one struct, so none can clash
@@ -237,15 +283,13 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, memory = _loaded(path), {}
+        memory = Memory(_loaded(path))
         for b in batches:
             for at in range(0, len(b), STRIDE):
                 part = b.slice(at, STRIDE)
                 texts = part.column(1).to_pylist()
-                ids = encode_texts(texts, v, memory)
-                flat, ends = np.asarray(ids.values).tolist(), np.asarray(ids.offsets).tolist()
-                exact = [t is None or decode_ids(flat[a:z], v) == t.replace(MARK, " ") for t, a, z in zip(texts, ends, ends[1:], strict=False)]
-                n = pa.array([None if t is None else z - a for t, a, z in zip(texts, ends, ends[1:], strict=False)], pa.int64())
+                ids, exact = encode_texts(texts, memory)
+                n = pa.array([None if t is None else z - a for t, a, z in zip(texts, ids.offsets.to_pylist(), ids.offsets.to_pylist()[1:], strict=False)], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, n, pa.array(exact, pa.bool_())], names=["doc_id", "ids", "n_pieces", "exact"])
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))

@@ -22,7 +22,9 @@ TEXTS = [t for _, t, *_ in EDGE if t] + ["  two  spaces ", "\n\n a\n", "naïve c
 
 def test_equals_the_library(model):
     sp, v = model
-    assert pieces.encode_texts(TEXTS, v, {}).to_pylist() == [sp.encode(t) for t in TEXTS]
+    ids, exact = pieces.encode_texts(TEXTS, pieces.Memory(v))
+    assert ids.to_pylist() == [sp.encode(t) for t in TEXTS]
+    assert exact == [t is None or pieces.decode_ids(i, v) == t.replace(pieces.MARK, " ") for i, t in zip(ids.to_pylist(), TEXTS, strict=True)]
 
 
 def test_equals_the_library_on_the_table(spark, sf, model):
@@ -56,3 +58,29 @@ def test_unigram_walk_matches_brute_force():
         ids = np.frombuffer(ids, np.int32)
         score = {i: s for i, s in toy.values()}
         assert abs(sum(score[i] for i in ids) - best(w)[0]) < 1e-9
+
+
+def test_words_that_decoding_loses_are_reported():
+    toy = {pieces.MARK: (0, -1.0), "a": (1, -1.5)}
+    v = pieces.Vocabulary(toy, "unigram", [], 2)  # no bytes to fall back on: other characters are lost
+    ids, exact = pieces.encode_texts(["a a", "a b", None, ""], pieces.Memory(v))
+    assert exact == [True, False, True, True] and ids.to_pylist()[1] == [0, 1, 0, 2]
+
+
+def test_a_full_memory_starts_anew(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBER", 5)
+    v = pieces.Vocabulary.load(pieces.default_model())
+    small, large = pieces.Memory(v), pieces.Memory(v)
+    texts = [" ".join(f"w{i + k}" for k in range(4)) for i in range(30)]
+    got = [i for t in texts for i in pieces.encode_texts([t], small)[0].to_pylist()]
+    monkeypatch.setattr(pieces, "REMEMBER", 10**6)
+    assert got == pieces.encode_texts(texts, large)[0].to_pylist()
+
+
+def test_very_long_words():
+    import sentencepiece
+
+    path = pieces.default_model()
+    v, sp = pieces.Vocabulary.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ab" * 4000, "x" * 3000 + "é" * 50, "a" * 2999]
+    assert pieces.encode_texts(texts, pieces.Memory(v))[0].to_pylist() == [sp.encode(t) for t in texts]
