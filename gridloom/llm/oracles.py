@@ -61,20 +61,38 @@ FROM b LEFT JOIN g ON b.lang IS NOT DISTINCT FROM g.lang AND b.source IS NOT DIS
 """
 
 _PLAIN = r"regexp_replace(lower(COALESCE(text, '')), '[^\p{L}\p{N}\x20\x09-\x0D]', '', 'g')"
-_MASKS = ", ".join(f"({m})" for m in decontam.MASKS)
-_SEED = "SELECT {id}, p, m, array_to_string(w[p:p + 2], ' ') || '|' || array_to_string(w[p + m:p + m + 2], ' ') AS key FROM {t}, LATERAL (SELECT UNNEST(range(1, len(w) - 1)) AS p), masks WHERE p + m + 2 <= len(w)"
+def _reads(mask: str) -> tuple[int, list[int]]:
+    """Words that a mask spans, and the places it reads."""
+    if mask.startswith("two"):
+        m = int(mask[3:])
+        return m + decontam.RUN, [*range(decontam.RUN), *range(m, m + decontam.RUN)]
+    return {"run": (3, [0, 1, 2]), "gap": (4, [0, 1, 3])}.get(mask) or (int(mask[3:]), [*range(int(mask[3:]))])
+
+
+def _seed_rows(key: str, table: str) -> str:
+    one = "SELECT {key}, p, '{m}' AS m, {words} AS key FROM {table}, LATERAL (SELECT UNNEST(range(1, len(w) + 1)) AS p) WHERE p + {span} - 1 <= len(w)"
+    rows = []
+    for m in decontam.HASHES:
+        span, reads = _reads(m)
+        rows.append(one.format(key=key, m=m, table=table, span=span, words=" || ' ' || ".join(f"w[p + {k}]" for k in reads)))
+    return " UNION ALL ".join(rows)
+
+
+_LONG = ", ".join(f"'two{m}'" for m in decontam.MASKS)
 DECONTAM = f"""
 WITH d AS (SELECT doc_id, {_words(_PLAIN)} AS w FROM documents),
-b AS (SELECT item_id, {_words(_PLAIN)} AS w FROM benchmark),
-items AS (SELECT * FROM b WHERE len(w) >= {decontam.SHORTEST}),
-masks AS (SELECT m FROM (VALUES {_MASKS}) v(m) UNION SELECT len(w) - {decontam.RUN} FROM items WHERE len(w) < {decontam.SPAN}),
-si AS (SELECT m, key, item_id, MIN(p) AS ip FROM ({_SEED.format(id='item_id', t='items')}) GROUP BY ALL),
-h AS (SELECT s.doc_id, si.item_id, d.w AS dw, items.w AS bw, LEAST(len(items.w), {decontam.PASSAGE}) AS v,
-    GREATEST(1, LEAST(ip + {decontam.SPAN // 2} - LEAST(len(items.w), {decontam.PASSAGE}) // 2, len(items.w) - LEAST(len(items.w), {decontam.PASSAGE}) + 1)) AS bs, s.p - ip AS shift
-  FROM ({_SEED.format(id='doc_id', t='d')}) s JOIN si USING (m, key) JOIN items USING (item_id) JOIN d USING (doc_id)),
-a AS (SELECT doc_id, item_id, v, bs + shift AS ds, list_sum(list_transform(range(0, v), lambda j: CASE WHEN bs + shift + j >= 1 AND dw[bs + shift + j] = bw[bs + j] THEN 1 ELSE 0 END)) AS agreed FROM h)
+items AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {_words(_PLAIN)} AS w FROM benchmark) WHERE len(w) > 0),
+own AS (SELECT item_id, w, CASE WHEN len(w) >= {decontam.PASSAGE} THEN [{_LONG}] WHEN len(w) >= {decontam.SHORTEST} THEN ['run', 'gap']
+    ELSE ['all' || len(w)] END AS masks, LEAST(len(w), {decontam.PASSAGE}) AS v FROM items),
+si AS (SELECT s.item_id, s.p AS ip, s.m, s.key, own.w AS bw, v FROM ({_seed_rows("item_id", "items")}) s JOIN own USING (item_id) WHERE list_contains(masks, m)),
+sd AS ({_seed_rows("doc_id", "d")}),
+h AS (SELECT sd.doc_id, si.item_id, d.w AS dw, bw, v, sd.p - ip AS shift, GREATEST(1, ip - v + 1) AS lo, LEAST(ip, len(bw) - v + 1) AS hi
+  FROM sd JOIN si USING (m, key) JOIN d USING (doc_id)),
+a AS (SELECT *, list_transform(range(lo, hi + v), lambda j: CASE WHEN j + shift >= 1 AND dw[j + shift] = bw[j] THEN 1 ELSE 0 END) AS a FROM h),
+s AS (SELECT *, list_transform(range(1, hi - lo + 2), lambda k: list_sum(a[k:k + v - 1])) AS sums FROM a),
+b AS (SELECT doc_id, item_id, v, list_max(sums) AS agreed, lo + list_position(sums, list_max(sums)) - 1 + shift AS ds FROM s)
 SELECT doc_id, item_id, COUNT(*) AS n_seeds, CAST(MIN(GREATEST(ds - 1, 0)) AS BIGINT) AS first_word, CAST(MAX(agreed) AS BIGINT) AS agreed, CAST(MAX(v) AS BIGINT) AS compared
-FROM a WHERE 100 * agreed >= {decontam.SHARE} * v GROUP BY ALL
+FROM b WHERE 100 * agreed >= CASE WHEN v < {decontam.SHORTEST} THEN 100 ELSE {decontam.SHARE} END * v GROUP BY ALL
 """
 
 ALL = {
