@@ -58,6 +58,8 @@ BROADCAST_IDS = 1_000_000
 FEW = 32
 #: Buckets in which a leader stands under another one before that one leads its buckets too.
 AGAIN = 2
+#: Words hashed into elements at a time, which bounds a worker's memory (a longer document is taken alone).
+SIGNED_WORDS = 120_000
 #: Pairs of one leader in one slot of the comparing join.
 SLOT = 4_000
 #: Members of a leader whose differences set the order of all.
@@ -161,7 +163,7 @@ def _signed(bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, end, offsets, flat in slices(b.column(2)):
+            for at, end, offsets, flat in slices(b.column(2), SIGNED_WORDS):
                 n = end - at
                 r, e, w = weighted(flat, offsets)
                 sig = signatures(r, e, w, n, k).view(np.uint64).reshape(n, bands, rows)
@@ -184,7 +186,7 @@ def _signed(bands: int, rows: int):
 
 def _unit_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at, end, offsets, flat in slices(b.column(1)):
+        for at, end, offsets, flat in slices(b.column(1), SIGNED_WORDS):
             r, e = units(flat, offsets)
             u = lists(e.view(np.int64), np.bincount(r, minlength=end - at), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), u], names=["node", "units"])

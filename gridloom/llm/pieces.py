@@ -29,6 +29,7 @@ installed.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from array import array
@@ -44,10 +45,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-#: Distinct words remembered from batch to batch in a worker; beyond it the memory starts anew.
-REMEMBER = 600_000
+#: Distinct words remembered from batch to batch in a worker, in two generations; when the younger is full the elder goes.
+REMEMBER = 360_000
+#: Pairs of pieces remembered as following each other or not.
+PAIRS = 300_000
 #: Texts encoded at a time.
-STRIDE = 1000
+STRIDE = 600
 
 
 def default_model() -> str:
@@ -65,12 +68,13 @@ class Vocabulary:
         spelling = {i: p.encode("utf-8", "surrogatepass") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.spelled = defaultdict(bytes, spelling).__getitem__
         self._automaton()
-        self.pair: dict[int, bool] = {}
+        self.n_pairs = 0
 
     def _automaton(self) -> None:
         """States of the pieces' trie: steps by character, the longest proper suffix state, the pieces that end there.
 
-        A piece is (id, length, score, id as bytes); those of a state are listed longest first.
+        A piece is (id, length, score, id as bytes, spelling, which pieces it may follow as far as known); those of a
+        state are listed longest first.
         """
         self.steps: list[dict[str, int]] = [{}]
         own: list[tuple | None] = [None]
@@ -83,8 +87,8 @@ class Vocabulary:
                     self.steps.append({})
                     own.append(None)
                 at = to
-            own[at] = (i, len(p), score, array("i", [i]).tobytes())
-        self.suffix, self.ends = [0] * len(own), [()] * len(own)
+            own[at] = (i, len(p), score, array("i", [i]).tobytes(), self.spelled(i), {})
+        self.suffix, self.ends, self.follow = [0] * len(own), [()] * len(own), [p[5] for p in own if p]
         level = [(0, c, s) for c, s in self.steps[0].items()]
         while level:  # by length, so that suffixes come first
             below = []
@@ -97,15 +101,13 @@ class Vocabulary:
                 self.ends[s] = (own[s], *rest) if own[s] else rest
                 below += [(s, d, x) for d, x in self.steps[s].items()]
             level = below
-        # steps by way of suffixes are remembered as they are met
-        self.known: list[dict[str, int]] = [dict(x) for x in self.steps]
 
     def step(self, state: int, c: str) -> int:
-        """The state after one more character."""
+        """The state after one more character; it joins the steps, which it doesn't change the sense of."""
         at = state
         while at and c not in self.steps[at]:
             at = self.suffix[at]
-        to = self.known[state][c] = self.steps[at].get(c, 0)
+        to = self.steps[state][c] = self.steps[at].get(c, 0)
         return to
 
     @classmethod
@@ -135,28 +137,32 @@ class Vocabulary:
             parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
         return parts
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether merging pieces a + b from characters gives the pair (a, b) again."""
-        if len(self.pair) > 600_000:
-            self.pair.clear()
-        x, y = self.text[a], self.text[b]
-        ok = self.pair[a << 32 | b] = self.merged(x + y) == [x, y]
+    def follows(self, a: int, p: tuple) -> bool:
+        """Whether merging piece a and piece p from characters gives the pair again; remembered with p."""
+        self.n_pairs += 1
+        if self.n_pairs > PAIRS:
+            self.n_pairs = 1
+            for f in self.follow:
+                f.clear()
+        x, y = self.text[a], self.text[p[0]]
+        ok = p[5][a] = self.merged(x + y) == [x, y]
         return ok
 
     def raw(self, c: str) -> bytes:
         return array("i", [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unk]).tobytes()
 
 
-def walk(words: list[str], v: Vocabulary) -> list[bytes]:
-    """Ids (32-bit, as bytes) of each of the sorted, distinct words, by one depth-first pass over their trie."""
-    out: list[bytes] = []
-    # forward table by prefix length: state, score, last piece (None for a lone character), and all ids so far
+def walk(words: list[str], v: Vocabulary) -> list[tuple[bytes, bytes]]:
+    """(ids as 32-bit bytes, what they spell) of each of the sorted, distinct words, by one depth-first pass over their trie."""
+    out: list[tuple[bytes, bytes]] = []
+    # forward table by prefix length: state, score, last piece (None for a lone character), all ids and their spelling so far
     state: list[int] = [0]
     score: list[float] = [0.0]
     back: list[tuple | None] = [None]
     ids: list[bytes] = [b""]
+    spell: list[bytes] = [b""]
     before = ""
-    known, ends, pair, unigram = v.known, v.ends, v.pair.get, v.kind == "unigram"
+    known, ends, unigram = v.steps, v.ends, v.kind == "unigram"
     for w in words:
         n = 0
         for a, b in zip(before, w, strict=False):
@@ -164,7 +170,7 @@ def walk(words: list[str], v: Vocabulary) -> list[bytes]:
                 break
             n += 1
         end = n + 1
-        del state[end:], back[end:], ids[end:], score[end:]
+        del state[end:], back[end:], ids[end:], spell[end:], score[end:]
         s = state[n]
         for c in w[n:] if n else w:
             to = known[s].get(c)
@@ -181,18 +187,25 @@ def walk(words: list[str], v: Vocabulary) -> list[bytes]:
                 for p in ends[s]:  # the longest first: a shorter one that also follows can't be on the path
                     last = back[end - p[1]]
                     if last is not None:
-                        ok = pair(last[0] << 32 | p[0])
-                        if not (v.follows(last[0], p[0]) if ok is None else ok):
+                        ok = p[5].get(last[0])
+                        if not (v.follows(last[0], p) if ok is None else ok):
                             continue
                     how = p
                     break
             # where no piece ends, the character stands alone, as bytes
-            ids.append(ids[end - how[1]] + how[3] if how else ids[end - 1] + v.raw(c))
+            if how:
+                at = end - how[1]
+                ids.append(ids[at] + how[3])
+                spell.append(spell[at] + how[4])
+            else:
+                raw = v.raw(c)
+                ids.append(ids[end - 1] + raw)
+                spell.append(spell[end - 1] + b"".join(map(v.spelled, array("i", raw))))
             state.append(s)
             back.append(how)
             end += 1
         before = w
-        out.append(ids[-1])
+        out.append((ids[-1], spell[-1]))
     return out
 
 
@@ -201,23 +214,25 @@ def marked(text: str) -> str:
 
 
 class Memory(dict):
-    """Ids of the words seen before, and those words that decoding does not give back."""
+    """Ids of the words seen before, in two generations, and those words that decoding does not give back."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v, self.lost = v, set()
+        self.v, self.lost, self.elder = v, set(), {}
 
     def learn(self, units: set[str]) -> None:
-        new = sorted(units - self.keys())
-        if len(self) + len(new) > REMEMBER:
+        new = units - self.keys()
+        if len(self) + len(new) > REMEMBER // 2:
+            self.elder = dict(self)
             self.clear()
-            self.lost.clear()
-            new = sorted(units)
-        ids = walk(new, self.v)
-        self.update(zip(new, ids, strict=True))
-        spelled = self.v.spelled
-        for w, i in zip(new, ids, strict=True):
-            if b"".join(map(spelled, array("i", i))) != w.encode("utf-8", "surrogatepass"):
+            self.lost &= units | self.elder.keys()
+            new = units
+        again = new & self.elder.keys()
+        self.update(zip(again, map(self.elder.__getitem__, again), strict=True))
+        new = sorted(new - again)
+        for w, (ids, spelled) in zip(new, walk(new, self.v), strict=True):
+            self[w] = ids
+            if spelled != w.encode("utf-8", "surrogatepass"):
                 self.lost.add(w)
 
 
@@ -284,6 +299,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(_loaded(path))
+        gc.disable()  # millions of small objects and no cycles: collections would only look at them again and again
         for b in batches:
             for at in range(0, len(b), STRIDE):
                 part = b.slice(at, STRIDE)
@@ -291,6 +307,7 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
                 ids, exact = encode_texts(texts, memory)
                 n = pa.array([None if t is None else z - a for t, a, z in zip(texts, ids.offsets.to_pylist(), ids.offsets.to_pylist()[1:], strict=False)], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, n, pa.array(exact, pa.bool_())], names=["doc_id", "ids", "n_pieces", "exact"])
+        gc.enable()
 
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, exact boolean")

@@ -11,7 +11,7 @@ from .common import words_of
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Words in one slice of a batch: bounds the memory that hashing takes (a longer document is one slice).
-SLICE_WORDS = 400_000
+SLICE_WORDS = 250_000
 
 
 def word_hashes(text: Column) -> Column:

@@ -54,8 +54,9 @@ def test_unigram_walk_matches_brute_force():
             return 0.0, []
         return max(((toy[w[:n]][1] + s, [toy[w[:n]][0], *rest]) for n in range(1, len(w) + 1) if w[:n] in toy for s, rest in [best(w[n:])]), key=lambda x: x[0])
 
-    for w, ids in zip(words, pieces.walk(words, v), strict=True):
+    for w, (ids, spelled) in zip(words, pieces.walk(words, v), strict=True):
         ids = np.frombuffer(ids, np.int32)
+        assert spelled.decode() == w
         score = {i: s for i, s in toy.values()}
         assert abs(sum(score[i] for i in ids) - best(w)[0]) < 1e-9
 
