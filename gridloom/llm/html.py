@@ -1,17 +1,18 @@
 """Main text of web pages (operator 1).
 
-The standard library's streaming parser turns a page into lines, one for each block of text, and counts
-the tags of each.  A line's text-to-tag ratio is high in running text and low in menus and link lists;
-lines inside boilerplate elements (navigation, forms, adverts, notices, comments and so on, by element
-name, role, class or id) have ratio 0, and an inline element of that kind loses its own text only.  The ratios are smoothed with a Gaussian and lines at or above a
-threshold, LAMBDA standard deviations of the smoothed ratios but never above half their mean over running
-text, form the content clusters.  A cluster takes in the other lines of its article element (or, outside of
-one, of its parent element), so that short paragraphs and headings stay with their text.
+The standard library's streaming parser turns a page into lines, one for each block of text, and counts the tags of
+each.  A line's ratio of text to tags is high in running text and low in menus and link lists; on a log scale, as
+one paragraph may be a thousand times as long as the next.  Lines inside page furniture have ratio 0: elements of
+such a name (navigation, forms and so on), of such a role, or with a class or id that consists of such words alone
+(``comment-list``, not ``social-effects``).  The ratios are smoothed with a Gaussian, and lines whose smoothed ratio
+is at or above THRESHOLD of the mean ratio of the page's text (each character counts) form the content clusters.  So a short
+paragraph between long ones is content and a lone short line among menus is not, wherever in the page they are.
+A gap of up to REACH lines between two clusters of the same element belongs to them.  Furniture is left out of a
+cluster; an inline element of that kind loses its own text only, not its line.
 
 Defined results: a null or empty page has the empty text; broken markup is read as far as the parser can, and a tag
-cut off by the end of the page is dropped;
-repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
-Pages are handled one at a time, whole.
+cut off by the end of the page is dropped; repeated rows give repeated results; an empty table gives an empty
+result; other columns are ignored.  Pages are handled one at a time, whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SIGMA = 1.0
-LAMBDA = 0.8
+SIGMA = 2.0
+THRESHOLD = 0.15
+REACH = 6
 
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text.
-SILENT = frozenset("script style noscript template title head svg iframe object canvas audio video math".split())
+SILENT = frozenset("script style noscript template title head svg iframe object canvas audio video".split())
 #: Elements that hold page furniture.
 FURNITURE = frozenset("nav footer aside form button select textarea dialog menu fieldset label".split())
 #: Elements that begin a line.
@@ -43,30 +45,48 @@ ROOTS = frozenset(("article", "main"))
 #: Words of class, id or role that mark page furniture.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies"
-    " consent disclaimer discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice"
-    " popup promo related replies reply share sharing sidebar sidenav social sponsor sponsored subscribe toolbar widget"
-    " complementary contentinfo search alert dialog".split()
+    " consent disclaimer discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice"
+    " popup promo promotion related replies reply share sharing sidebar sidenav signup social sponsor sponsored subscribe"
+    " toolbar widget complementary contentinfo search alert dialog login".split()
+)
+#: Words that say nothing beside those.
+NEUTRAL = frozenset(
+    "area articles bar bottom box btn button buttons block card col column container content form global group head holder icon"
+    " icons inline inner item items left line link links list lower main outer page panel post posts primary right row section secondary"
+    " site slot stories sub text the thread title top ul unit upper wrap wrapper js is has".split()
 )
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CUT_OFF = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
 _BAD_DECLARATION = re.compile(r"<!\[(?!CDATA\[)")
 
 
+def marks(value: str) -> bool:
+    """Whether a class, id or role consists of furniture words: some token has one, and nothing else but neutral words."""
+    for token in value.lower().split():
+        words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+        if not HINTS.isdisjoint(words) and all(w in HINTS or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Parser events to lines: [text parts, tags, furniture, root, parent]."""
+    """Parser events to lines: (text, tags, furniture, number of the block element around it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # open elements: (tag, silent, furniture, root, number)
-        self.open: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
+        # open elements: (tag, silent, furniture, number); where each tag is open, and where blocks other than p are
+        self.open: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.hard: list[int] = [0]
         self.number = 0
-        self.done: list[tuple[str, int, bool, int, int]] = []
+        self.done: list[tuple[str, int, bool, int]] = []
         self._begin()
 
     def _begin(self) -> None:
         self.parts: list[tuple[str, bool]] = []
         self.tags = 0
-        self.where = None
+        self.where: tuple[bool, int] | None = None
 
     def _text(self) -> str:
         """The line's text without that of inline furniture; if there is no other, all of it."""
@@ -82,17 +102,45 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = self._text()
         if text:
-            top = self.where or self.open[-1]
-            self.done.append((text, self.tags, top[2], top[3], self.parent))
+            self.done.append((text, self.tags, *(self.where or (self.open[-1][2], 0))))
         elif self.done and self.tags:
             last = self.done[-1]
             self.done[-1] = (last[0], last[1] + self.tags, *last[2:])
         self._begin()
 
+    def _push(self, tag: str, silent: bool, furniture: bool) -> None:
+        self.number += 1
+        i = len(self.open)
+        self.open.append((tag, silent, furniture, self.number))
+        self.at.setdefault(tag, []).append(i)
+        if tag in BLOCK:
+            self.blocks.append(i)
+            if tag != "p":
+                self.hard.append(i)
+
+    def _cut(self, i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        while len(self.open) > i:
+            tag = self.open.pop()[0]
+            self.at[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+                if tag != "p":
+                    self.hard.pop()
+
+    def _close(self, tag: str) -> None:
+        """An end tag: of an inline element it reaches no further than the block around it, of a paragraph than the next other block."""
+        where = self.at.get(tag)
+        if not where:
+            return
+        bound = self.hard[-1] if tag == "p" else self.blocks[-1] if self.blocks and tag not in BLOCK and tag not in SILENT else 0
+        if where[-1] > bound:
+            self._cut(where[-1])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCK or tag in SILENT:
+        if tag in BLOCK or tag in ("head", "title"):
             self.end_line()
-            if tag != "body" and any(x[0] == "p" for x in self.open[-8:]) and tag in BLOCK:
+            if tag in BLOCK and tag != "body":
                 self._close("p")  # a paragraph ends where another block begins
             if tag == "body":
                 self._close("head")
@@ -104,47 +152,31 @@ class Lines(HTMLParser):
         if tag in ("td", "th"):
             self.parts.append((" ", False))
         top = self.open[-1]
-        self.number += 1
-        furniture = top[2] or tag in FURNITURE or (tag == "header" and not top[3])
+        inside = any(self.at.get(r) for r in ROOTS)
+        furniture = top[2] or tag in FURNITURE or (tag == "header" and not inside)
         if not furniture and tag not in ("html", "body", "article", "main"):
-            for name, value in attrs:
-                if value and name in ("class", "id", "role") and not HINTS.isdisjoint(_SPLIT.split(value.lower())):
-                    furniture = True
-        if any(name == "hidden" for name, _ in attrs):
-            furniture = True
-        root = self.number if tag in ROOTS and not furniture else top[3]
-        self.open.append((tag, top[1] or tag in SILENT, furniture, root, self.number))
+            furniture = any(value and name in ("class", "id", "role") and marks(value) for name, value in attrs)
+        furniture = furniture or any(name == "hidden" for name, _ in attrs)
+        self._push(tag, top[1] or tag in SILENT, furniture)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK:
             self.handle_endtag(tag)
 
-    def _close(self, tag: str) -> None:
-        inline = tag not in BLOCK and tag not in SILENT
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name == tag:
-                del self.open[i:]
-                return
-            if inline and name in BLOCK or tag == "p" and name in BLOCK and name != "p":
-                return
-
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK or tag in SILENT:
-            self.tags += 1
+        self.tags += 1
+        if tag in BLOCK or tag in ("head", "title"):
             self.end_line()
-        else:
-            self.tags += 1
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
         top = self.open[-1]
         if top[1]:
             return
-        if not data.isspace() and (self.where is None or self.where[2] and not top[2]):
-            self.where = top
-            self.parent = next((x[4] for x in reversed(self.open[:-1]) if x[0] in BLOCK and x[0] not in ("p", "li")), 0)
+        if not data.isspace() and (self.where is None or self.where[0] and not top[2]):
+            around = self.hard[-1] if self.open[self.hard[-1]][0] != "li" or len(self.hard) < 2 else self.hard[-2]
+            self.where = (top[2], self.open[around][3])
         self.parts.append((data, top[2]))
 
 
@@ -160,29 +192,35 @@ def smoothed(x: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The article of a page: its blocks, joined by empty lines."""
-    if not html:
-        return ""
+def parsed(html: str) -> list[tuple[str, int, bool, int]]:
     p = Lines()
-    p.parent = 0
     p.feed(_CUT_OFF.sub("", _BAD_DECLARATION.sub("&lt;![", html)))
     p.close()
     p.end_line()
-    lines = p.done
-    ratio = [0.0 if furniture else len(text) / max(1, tags) for text, tags, furniture, _, _ in lines]
+    return p.done
+
+
+def selected(lines: list[tuple[str, int, bool, int]]) -> list[bool]:
+    """Which lines are in content clusters."""
+    ratio = [0.0 if furniture else math.log1p(len(text) / max(1, tags)) for text, tags, furniture, _ in lines]
     if not any(ratio):
-        return ""
-    soft = smoothed(ratio)
-    mean = sum(soft) / len(soft)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in soft) / len(soft))
-    running = [s for s, r in zip(soft, ratio, strict=True) if r]
-    least = min(LAMBDA * spread, 0.5 * sum(running) / len(running))
-    content = [bool(r) and s >= least for s, r in zip(soft, ratio, strict=True)]
-    roots = {x[3] for x, c in zip(lines, content, strict=True) if c and x[3]}
-    parents = {x[4] for x, c in zip(lines, content, strict=True) if c and not x[3]}
-    take = [not x[2] and (x[3] in roots if x[3] else c or x[4] in parents) for x, c in zip(lines, content, strict=True)]
-    return "\n\n".join(x[0] for x, t in zip(lines, take, strict=True) if t)
+        return [False] * len(lines)
+    weight = [len(line[0]) if r else 0 for line, r in zip(lines, ratio, strict=True)]
+    least = THRESHOLD * sum(r * w for r, w in zip(ratio, weight, strict=True)) / sum(weight)
+    take = [s >= least for s in smoothed(ratio)]
+    last = None
+    for i, t in enumerate(take):
+        if t:
+            if last is not None and 1 < i - last <= REACH + 1 and lines[i][3] == lines[last][3]:
+                take[last:i] = [True] * (i - last)
+            last = i
+    return [t and bool(r) for t, r in zip(take, ratio, strict=True)]
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page: its blocks, joined by empty lines."""
+    lines = parsed(html) if html else []
+    return "\n\n".join(x[0] for x, t in zip(lines, selected(lines), strict=True) if t)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

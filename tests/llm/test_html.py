@@ -60,3 +60,94 @@ def test_inline_furniture_loses_its_own_text_only():
         ("A word<span class='ad'>buy now</span>, and more words that follow on it.", "A word, and more words that follow on it."),
     ):
         assert html.main_text(f"<article><h1>Title</h1><p>{p}</p><p><span class='share'>Share this</span></p></article>") == f"Title\n\n{want}"
+
+
+TEMPLATES = [
+    "<body><nav><a href='/'>Home</a></nav><article>{}</article><footer>All rights reserved</footer></body>",
+    "<body><header><h1>The site</h1></header><main>{}</main><aside>Read more about other things</aside></body>",
+    "<body><div id='sidebar'><p>Some words about the author of this site.</p></div><div id='content'>{}</div></body>",
+    "<table><tr><td class='nav-links'><a>One</a> <a>Two</a></td></tr><tr><td>{}</td></tr></table>",
+    "<body><div class='cookie-notice'>We use cookies on this site, as all do.</div>{}<div class='comments'><p>I don't agree at all.</p></div></body>",
+    "<body><ul class='menu'><li><a>A</a><li><a>B</a></ul><section>{}</section><form>Mail <input> <button>Go</button></form></body>",
+    "<body>{}<div role='complementary'>Elsewhere on this site there is more.</div></body>",
+    "<div><div class='ad-banner'>Buy this now.</div><div><div>{}</div></div><div class='share buttons'>Share it</div></div>",
+    "<body><div hidden>Not to be seen by anyone.</div><article>{}<aside>Beside the point, this one.</aside></article></body>",
+    "<body><script>var a = '<p>no</p>';</script><noscript>Turn it on</noscript><article>{}</article><!-- <p>gone</p> --></body>",
+    "<body><dialog open>Sign up to read more of this</dialog><div class='post-list'>{}</div><div class='newsletter-signup'>Sign up here.</div></body>",
+]
+
+
+def test_page_templates():
+    for t in TEMPLATES:
+        for order in (P, P[::-1], P * 4):
+            want = "\n\n".join(["Title", *order]).replace("&amp;", "&").replace("&eacute;", "é")
+            assert html.main_text(t.replace("{}", "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in order))) == want, t
+
+
+def test_words_in_an_id_or_class_do_not_delete_content():
+    body = "".join(f"<p>{p}</p>" for p in P)
+    for start, end in (("<div id='search-space'>", "</div>"), ("<div class='social-studies'>", "</div>"), ("<section id='comment-on-method'>", "</section>")):
+        assert html.main_text(f"<article>{start}<h2 id='social-effects'>Effects</h2>{body}{end}</article>").startswith("Effects\n\nThis is the first")
+    assert html.main_text("<article><p>The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> of two <svg><text>no</text></svg>terms.</p></article>") == "The sum x+y of two terms."
+    assert html.marks("ad") and html.marks("site-footer dark") and html.marks("x ad3") and not html.marks("adventure") and not html.marks("main content")
+
+
+def brute(lines, sigma, share, reach):
+    """Which lines are content, by numpy over the whole page at once."""
+    import numpy as np
+
+    r = np.array([0.0 if f else np.log1p(len(t) / max(1, n)) for t, n, f, _ in lines])
+    if not r.any():
+        return [False] * len(lines)
+    size = np.array([len(t) for t, *_ in lines]) * (r > 0)
+    at = np.arange(len(r))
+    far = np.abs(at[:, None] - at[None, :])
+    w = np.where(far <= max(1, np.ceil(3 * sigma)), np.exp(-0.5 * (far / sigma) ** 2), 0)
+    on = (w @ r) / w.sum(axis=1) >= share * (r @ size) / size.sum()
+    for i in at[on]:
+        for j in at[on]:
+            if i < j <= i + reach + 1 and not on[i + 1 : j].any() and lines[i][3] == lines[j][3]:
+                on = on | ((at > i) & (at < j))
+    return [bool(x) for x in on & (r > 0)]
+
+
+def test_clusters_match_brute_force(sf):
+    import random
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(2)
+    made = [
+        "<body>" + "".join(f"<{t}{r.choice(['', ' class=ad', ' id=x'])}>{'word ' * r.choice([1, 2, 9, 80])}</{t}>" for _ in range(r.randrange(1, 40)) for t in [r.choice(["p", "div", "li", "nav", "h2"])])
+        for _ in range(150)
+    ]
+    for page in made + pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist():
+        lines = html.parsed(page)
+        assert html.selected(lines) == brute(lines, html.SIGMA, html.THRESHOLD, html.REACH)
+
+
+def test_smoothing_decides(sf, monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()
+    page = "<p>" + "long paragraph " * 20 + "</p><p><b>No</b>.</p><p>" + "another one " * 20 + "</p>" + "<div><a>a</a></div>" * 30
+    with_it = [html.main_text(p) for p in [*pages, page]]
+    assert "No." in with_it[-1].split("\n\n") and with_it[-1].count("\n\n") < 10
+    monkeypatch.setattr(html, "smoothed", lambda x: x)
+    monkeypatch.setattr(html, "REACH", 0)
+    without = [html.main_text(p) for p in [*pages, page]]
+    assert sum(a != b for a, b in zip(with_it, without, strict=True)) > 1
+
+
+def test_time_in_proportion_to_length():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        page = "<article><i><div>" + "<b>" * n + "x</i>" * n + "</div><p>" + "<b>word</b></u> " * n + "</article>"
+        t = time.process_time()
+        html.main_text(page)
+        took.append(time.process_time() - t)
+    assert took[1] < 30 * max(took[0], 0.05)
+    inner = "<p>An unclosed notice" + "<b>" * 9 + "<p>The paragraph that follows it stays, whatever was open."
+    assert html.main_text(f"<article><div class='notice'>{inner[:40]}</div><div>{inner}</div></article>").endswith("whatever was open.")
