@@ -7,7 +7,8 @@ such a name (navigation, forms and so on), of such a role, or with a class or id
 (``comment-list``, not ``social-effects``).  The ratios are smoothed with a Gaussian, and lines whose smoothed ratio
 is at or above THRESHOLD of the mean ratio of the page's text (each character counts) form the content clusters.  So a short
 paragraph between long ones is content and a lone short line among menus is not, wherever in the page they are.
-A gap of up to REACH lines between two clusters of the same element belongs to them.  Furniture is left out of a
+A gap of up to REACH lines between two clusters of the same element belongs to them, and so do up to EDGE lines of
+that element before and after.  Furniture is left out of a
 cluster; an inline element of that kind loses its own text only, not its line.
 
 Defined results: a null or empty page has the empty text; broken markup is read as far as the parser can, and a tag
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 SIGMA = 2.0
 THRESHOLD = 0.15
 REACH = 6
+EDGE = 2
 
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,6 +216,13 @@ def selected(lines: list[tuple[str, int, bool, int]]) -> list[bool]:
             if last is not None and 1 < i - last <= REACH + 1 and lines[i][3] == lines[last][3]:
                 take[last:i] = [True] * (i - last)
             last = i
+    own = [line[3] for line in lines]
+    core = take[:]
+    for k in range(1, EDGE + 1):
+        for i in range(len(lines)):
+            for j in (i - k, i + k):
+                if 0 <= j < len(lines) and core[j] and len({own[x] for x in range(min(i, j), max(i, j) + 1)}) == 1:
+                    take[i] = True
     return [t and bool(r) for t, r in zip(take, ratio, strict=True)]
 
 

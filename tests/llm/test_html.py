@@ -92,7 +92,7 @@ def test_words_in_an_id_or_class_do_not_delete_content():
     assert html.marks("ad") and html.marks("site-footer dark") and html.marks("x ad3") and not html.marks("adventure") and not html.marks("main content")
 
 
-def brute(lines, sigma, share, reach):
+def brute(lines, sigma, share, reach, edge):
     """Which lines are content, by numpy over the whole page at once."""
     import numpy as np
 
@@ -108,6 +108,9 @@ def brute(lines, sigma, share, reach):
         for j in at[on]:
             if i < j <= i + reach + 1 and not on[i + 1 : j].any() and lines[i][3] == lines[j][3]:
                 on = on | ((at > i) & (at < j))
+    for i in list(at[on]):
+        for j in at[far[i] <= edge]:
+            on = on | ((at == j) & (len({lines[x][3] for x in range(min(i, j), max(i, j) + 1)}) == 1))
     return [bool(x) for x in on & (r > 0)]
 
 
@@ -123,7 +126,7 @@ def test_clusters_match_brute_force(sf):
     ]
     for page in made + pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist():
         lines = html.parsed(page)
-        assert html.selected(lines) == brute(lines, html.SIGMA, html.THRESHOLD, html.REACH)
+        assert html.selected(lines) == brute(lines, html.SIGMA, html.THRESHOLD, html.REACH, html.EDGE)
 
 
 def test_smoothing_decides(sf, monkeypatch):
@@ -135,6 +138,7 @@ def test_smoothing_decides(sf, monkeypatch):
     assert "No." in with_it[-1].split("\n\n") and with_it[-1].count("\n\n") < 10
     monkeypatch.setattr(html, "smoothed", lambda x: x)
     monkeypatch.setattr(html, "REACH", 0)
+    monkeypatch.setattr(html, "EDGE", 0)
     without = [html.main_text(p) for p in [*pages, page]]
     assert sum(a != b for a, b in zip(with_it, without, strict=True)) > 1
 
