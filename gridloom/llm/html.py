@@ -7,7 +7,8 @@ such a name (navigation, forms and so on), of such a role, or with a class or id
 (``comment-list``, not ``social-effects``).  The ratios are smoothed with a Gaussian, and lines whose smoothed ratio
 is at or above THRESHOLD of the mean ratio of the page's text (each character counts) form the content clusters.  So a short
 paragraph between long ones is content and a lone short line among menus is not, wherever in the page they are.
-A gap of up to REACH lines between two clusters of the same element belongs to them.  Furniture is left out of a
+A gap of up to REACH lines between two clusters of the same element belongs to them, and so does a heading right
+before a cluster.  Furniture is left out of a
 cluster; an inline element of that kind loses its own text only, not its line.
 
 Defined results: a null or empty page has the empty text; broken markup is read as far as the parser can, and a tag
@@ -42,6 +43,7 @@ BLOCK = frozenset(
     " thead tr ul caption".split()
 )
 ROOTS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id or role that mark page furniture.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies"
@@ -70,7 +72,7 @@ def marks(value: str) -> bool:
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: (text, tags, furniture, number of the block element around it)."""
+    """Parser events to lines: (text, tags, furniture, number of the block element around it, whether it is a heading)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -80,13 +82,13 @@ class Lines(HTMLParser):
         self.blocks: list[int] = []
         self.hard: list[int] = [0]
         self.number = 0
-        self.done: list[tuple[str, int, bool, int]] = []
+        self.done: list[tuple[str, int, bool, int, bool]] = []
         self._begin()
 
     def _begin(self) -> None:
         self.parts: list[tuple[str, bool]] = []
         self.tags = 0
-        self.where: tuple[bool, int] | None = None
+        self.where: tuple[bool, int, bool] | None = None
 
     def _text(self) -> str:
         """The line's text without that of inline furniture; if there is no other, all of it."""
@@ -102,7 +104,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = self._text()
         if text:
-            self.done.append((text, self.tags, *(self.where or (self.open[-1][2], 0))))
+            self.done.append((text, self.tags, *(self.where or (self.open[-1][2], 0, False))))
         elif self.done and self.tags:
             last = self.done[-1]
             self.done[-1] = (last[0], last[1] + self.tags, *last[2:])
@@ -175,8 +177,9 @@ class Lines(HTMLParser):
         if top[1]:
             return
         if not data.isspace() and (self.where is None or self.where[0] and not top[2]):
-            around = self.hard[-1] if self.open[self.hard[-1]][0] != "li" or len(self.hard) < 2 else self.hard[-2]
-            self.where = (top[2], self.open[around][3])
+            tag = self.open[self.hard[-1]][0]
+            around = self.hard[-2] if len(self.hard) > 1 and (tag == "li" or tag in HEADINGS) else self.hard[-1]
+            self.where = (top[2], self.open[around][3], tag in HEADINGS)
         self.parts.append((data, top[2]))
 
 
@@ -192,7 +195,7 @@ def smoothed(x: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def parsed(html: str) -> list[tuple[str, int, bool, int]]:
+def parsed(html: str) -> list[tuple[str, int, bool, int, bool]]:
     p = Lines()
     p.feed(_CUT_OFF.sub("", _BAD_DECLARATION.sub("&lt;![", html)))
     p.close()
@@ -200,9 +203,9 @@ def parsed(html: str) -> list[tuple[str, int, bool, int]]:
     return p.done
 
 
-def selected(lines: list[tuple[str, int, bool, int]]) -> list[bool]:
+def selected(lines: list[tuple[str, int, bool, int, bool]]) -> list[bool]:
     """Which lines are in content clusters."""
-    ratio = [0.0 if furniture else math.log1p(len(text) / max(1, tags)) for text, tags, furniture, _ in lines]
+    ratio = [0.0 if furniture else math.log1p(len(text) / max(1, tags)) for text, tags, furniture, *_ in lines]
     if not any(ratio):
         return [False] * len(lines)
     weight = [len(line[0]) if r else 0 for line, r in zip(lines, ratio, strict=True)]
@@ -214,6 +217,8 @@ def selected(lines: list[tuple[str, int, bool, int]]) -> list[bool]:
             if last is not None and 1 < i - last <= REACH + 1 and lines[i][3] == lines[last][3]:
                 take[last:i] = [True] * (i - last)
             last = i
+    for i in range(len(lines) - 2, -1, -1):
+        take[i] = take[i] or lines[i][4] and take[i + 1] and bool(ratio[i + 1])
     return [t and bool(r) for t, r in zip(take, ratio, strict=True)]
 
 

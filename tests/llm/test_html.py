@@ -96,7 +96,7 @@ def brute(lines, sigma, share, reach):
     """Which lines are content, by numpy over the whole page at once."""
     import numpy as np
 
-    r = np.array([0.0 if f else np.log1p(len(t) / max(1, n)) for t, n, f, _ in lines])
+    r = np.array([0.0 if f else np.log1p(len(t) / max(1, n)) for t, n, f, *_ in lines])
     if not r.any():
         return [False] * len(lines)
     size = np.array([len(t) for t, *_ in lines]) * (r > 0)
@@ -108,6 +108,8 @@ def brute(lines, sigma, share, reach):
         for j in at[on]:
             if i < j <= i + reach + 1 and not on[i + 1 : j].any() and lines[i][3] == lines[j][3]:
                 on = on | ((at > i) & (at < j))
+    for i in at[:-1][::-1]:
+        on[i] |= lines[i][4] and on[i + 1] and r[i + 1] > 0
     return [bool(x) for x in on & (r > 0)]
 
 
