@@ -17,10 +17,18 @@ BINKEY = ["volume_id", "ih", "ik", "il"]
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut (the folder is set here only where none is)."""
+    """df written to the folder of the session's ``spark.checkpoint.dir``, its lineage cut.
+
+    A session of one machine that sets none, as in tests, gets a temporary folder; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="gridloom-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

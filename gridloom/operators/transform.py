@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import window_weight
 from ..functions.sizes import hinted
 from .filters import measured
+from .lattice import saved
 
 BINKEY = ["volume_id", "ih", "ik", "il"]
 
@@ -47,12 +48,34 @@ def _along(axes: tuple[str, ...], sizes: str, inverse: bool):
     return run
 
 
+#: Lines along h that one call transforms together.
+LINES = 256
+
+
+def _lines(inverse: bool):
+    """A grouped map that transforms many lines of (re, im) along h at once, about their middle bin."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nh, nl = int(pdf["nh"].iloc[0]), int(pdf["nl"].iloc[0])
+        line, at = np.unique(pdf["ik"].to_numpy(np.int64) * nl + pdf["il"].to_numpy(), return_inverse=True)
+        x = np.zeros((len(line), nh), complex)
+        x[at, pdf["ih"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        x = np.fft.ifftshift(x, axes=1)
+        x = np.fft.fftshift(np.fft.ifft(x, axis=1) if inverse else np.fft.fft(x, axis=1), axes=1)
+        out = {c: np.full(x.size, pdf[c].iloc[0]) for c in ("volume_id", "nh", "nk", "nl")}
+        out["ih"], out["ik"], out["il"] = np.tile(np.arange(nh), len(line)), np.repeat(line // nl, nh), np.repeat(line % nl, nh)
+        out["re"], out["im"] = x.real.ravel(), x.imag.ravel()
+        return pd.DataFrame(out)[COLUMNS]
+
+    return run
+
+
 COLUMNS = ["volume_id", "nh", "nk", "nl", "ih", "ik", "il", "re", "im"]
 SCHEMA = "volume_id string, nh int, nk int, nl int, ih int, ik int, il int, re double, im double"
 
 
 def fft(values: DataFrame, volumes: DataFrame, inverse: bool = False) -> DataFrame:
-    """Centred 3-D transform of column ``value`` (complex: ``re``, ``im``) in two exchanges: planes of k, l, then lines of h."""
+    """Centred 3-D transform of column ``value`` (complex: ``re``, ``im``) in two exchanges: planes of k, l, then blocks of lines of h."""
     size = hinted(volumes.select("volume_id", "nh", "nk", "nl"))
     if "re" in values.columns:
         v = values.select(*BINKEY, "re", "im").join(size, "volume_id")
@@ -60,7 +83,8 @@ def fft(values: DataFrame, volumes: DataFrame, inverse: bool = False) -> DataFra
         v = values.select(*BINKEY, F.col("value").alias("re"), F.lit(0.0).alias("im")).join(size, "volume_id")
     v = v.select(*COLUMNS)
     planes = v.groupBy("volume_id", "ih").applyInPandas(_along(("k", "l"), "", inverse), SCHEMA)
-    return planes.groupBy("volume_id", "ik", "il").applyInPandas(_along(("h",), "", inverse), SCHEMA)
+    block = F.expr(f"(ik * nl + il) % greatest(nk * nl div {LINES}, 1)").alias("block")
+    return planes.groupBy("volume_id", block).applyInPandas(_lines(inverse), SCHEMA)
 
 
 def delta_pdf(bins: DataFrame, volumes: DataFrame, kind: str = "gaussian", sigma: float = 0.4) -> DataFrame:
@@ -74,7 +98,7 @@ def delta_pdf(bins: DataFrame, volumes: DataFrame, kind: str = "gaussian", sigma
 
 def round_trip(bins: DataFrame, volumes: DataFrame, kind: str = "gaussian", sigma: float = 0.4, floor: float = 1e-3) -> DataFrame:
     """Transform, inverse, window divided out, mean added back: measured bins with ``recon``, where the window is above floor."""
-    p = prepared(bins, volumes, kind, sigma)
+    p = saved(prepared(bins, volumes, kind, sigma))
     back = fft(fft(p, volumes).select(*BINKEY, "re", "im"), volumes, inverse=True).select(*BINKEY, "re")
     j = p.join(back, BINKEY).filter(F.col("weight") > floor)
     own = bins.select(*BINKEY, "intensity")
@@ -96,11 +120,14 @@ def fft_by_join(values: DataFrame, volumes: DataFrame, wanted: DataFrame) -> Dat
 
 
 def sigma_outside_origin(pdf: DataFrame, share: float = 0.05) -> DataFrame:
-    """Median and robust σ of a map outside the disk of 5 % of its half-width about the origin."""
+    """Median and robust σ of a map outside the disk of 5 % of its half-width about the origin.
+
+    The map is read three times: pass one that is written (:func:`gridloom.operators.lattice.saved`).
+    """
     r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
     half = pdf.groupBy("volume_id").agg(F.least(F.max("x"), F.max("y"), F.max("z")).alias("_h"))
     p = pdf.join(hinted(half), "volume_id").filter(r > share * F.col("_h"))
-    m = p.groupBy("volume_id").agg(F.expr("percentile(value, 0.5)").alias("median"), F.count("*").alias("n"))
+    m = saved(p.groupBy("volume_id").agg(F.expr("percentile(value, 0.5)").alias("median"), F.count("*").alias("n")))
     d = p.join(hinted(m), "volume_id").groupBy("volume_id").agg((1.4826 * F.expr("percentile(abs(value - median), 0.5)")).alias("sigma"))
     return m.join(d, "volume_id")
 
@@ -109,6 +136,7 @@ def pair_signal(pdf: DataFrame, volumes: DataFrame, vectors: DataFrame, key: lis
     """The map at vectors (volume_id, key, x, y, z) inside it, trilinear and in σ; null in the origin's disk and where σ is 0."""
     from .resample import at_points
 
+    pdf = saved(pdf)
     as_bins = pdf.select("volume_id", F.col("ix").alias("ih"), F.col("iy").alias("ik"), F.col("iz").alias("il"), F.col("value").alias("intensity"), F.lit(True).alias("measured"))
     grid, inside = volumes.select("volume_id", *[f"{p}{a}" for p in "nd" for a in "hkl"]), F.lit(True)
     for a, x in zip("hkl", "xyz", strict=True):
@@ -124,14 +152,25 @@ def pair_signal(pdf: DataFrame, volumes: DataFrame, vectors: DataFrame, key: lis
     return j.select("volume_id", *key, F.col("h").alias("x"), F.col("k").alias("y"), F.col("l").alias("z"), F.when(seen, F.col("value") / F.col("sigma")).alias("in_sigma"))
 
 
-def strongest(pdf: DataFrame, n_sigma: float = 5.0) -> DataFrame:
-    """Extrema of a map above n·σ outside the origin, one of each pair ±r, with length and height in σ."""
-    from .lattice import local_extrema
+def box_extremes(pdf: DataFrame) -> DataFrame:
+    """A complete map with ``low`` and ``high``, the least and largest value of the 3×3×3 box about each point.
 
-    bins = pdf.select("volume_id", F.col("ix").alias("ih"), F.col("iy").alias("ik"), F.col("iz").alias("il"), F.col("value").alias("intensity"), F.lit(True).alias("measured"))
-    ext = local_extrema(bins, 1).unionByName(local_extrema(bins, -1)).distinct()
-    s = hinted(sigma_outside_origin(pdf))
-    j = ext.join(pdf.select("volume_id", F.col("ix").alias("ih"), F.col("iy").alias("ik"), F.col("iz").alias("il"), "x", "y", "z"), BINKEY).join(s, "volume_id")
+    Axis by axis: extremes of three along one axis, then of those along the next, so the map is dealt three times
+    and no point is copied to its neighbours.
+    """
+    d = pdf.withColumn("low", F.col("value")).withColumn("high", F.col("value"))
+    for axis, rest in (("iz", ("ix", "iy")), ("iy", ("ix", "iz")), ("ix", ("iy", "iz"))):
+        w = Window.partitionBy("volume_id", *rest).orderBy(axis).rangeBetween(-1, 1)
+        d = d.select(*pdf.columns, F.min("low").over(w).alias("low"), F.max("high").over(w).alias("high"))
+    return d
+
+
+def strongest(pdf: DataFrame, n_sigma: float = 5.0) -> DataFrame:
+    """Extrema of a complete map above n·σ outside the origin, one of each pair ±r, with length and height in σ."""
+    pdf = saved(pdf)
+    s = saved(sigma_outside_origin(pdf))
     half = (F.col("x") > 0) | ((F.col("x") == 0) & ((F.col("y") > 0) | ((F.col("y") == 0) & (F.col("z") > 0))))
     r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    return j.filter(half & (F.abs("value") >= n_sigma * F.col("sigma"))).select("volume_id", "x", "y", "z", "value", r.alias("length"), (F.col("value") / F.col("sigma")).alias("in_sigma"))
+    j = box_extremes(pdf).filter(half & ((F.col("value") == F.col("low")) | (F.col("value") == F.col("high")))).join(hinted(s), "volume_id")
+    j = j.filter(F.abs("value") >= n_sigma * F.col("sigma"))
+    return j.select("volume_id", "x", "y", "z", "value", r.alias("length"), (F.col("value") / F.col("sigma")).alias("in_sigma"))
