@@ -362,7 +362,7 @@ def _grouped(docs: DataFrame, buckets: DataFrame, t: float) -> DataFrame | None:
         if label is None:  # later levels are pruned by the components of the first one
             label = components(links)
             links = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        buckets = _differences(found, label, t)
+        buckets = materialise(_differences(found, label, t))
         few *= 4
 
 
