@@ -274,7 +274,7 @@ def _open(df: DataFrame) -> DataFrame:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, weight) of the differences that each member writes.
+    """Rows (key, node, weight, label) of the differences that each member writes.
 
     The most frequent ones, by the leader's sample, are left out as far as what it must share allows; ties by hash.
     """
@@ -298,13 +298,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(len(h))
             i = pa.array(np.repeat(np.arange(len(part)), counts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys), pa.int64()), *(part.column(c).take(i) for c in ("node", "weight"))],
-                names=["key", "node", "weight"],
+                [pa.array(np.concatenate(keys), pa.int64()), *(part.column(c).take(i) for c in ("node", "weight", "label"))],
+                names=["key", "node", "weight", "label"],
             )
 
 
 def _differences(found: DataFrame, label: DataFrame | None, t: float) -> DataFrame:
-    """(key, node, weight): the buckets of the next level, from the compared pairs of leaders."""
+    """(key, node, weight, label): the buckets of the next level, from the compared pairs of leaders."""
     d = found.filter("led").select("a", F.col("b").alias("node"), "both", "na", F.col("nb").alias("weight"), "more", "less")
     d = _labelled(d, label)
     # done where all members are of one component: the leader itself was compared with each of them
@@ -329,19 +329,20 @@ def _differences(found: DataFrame, label: DataFrame | None, t: float) -> DataFra
     reach = F.least(F.expr(f"{1 / share!r} * both - weight + 1e-6"), F.when(F.col("_c") > F.col("_t"), F.col("na")).otherwise(F.lit(2.0**62)))
     near = (reach >= F.greatest("least", t * F.col("weight"))) & ((F.col("_c") > F.col("_t")) | (F.col("weight") <= F.col("na")))
     need = lambda n: F.greatest(n, F.lit(1)).cast("long").alias("need")
-    own = ("a", "node", "weight", "often", "times")
+    own = ("a", "node", "weight", "label", "often", "times")
     rows = d.select(*own, F.lit(0).alias("kind"), need(beyond), F.col("more").alias("e")).unionByName(
         d.filter(near).select(*own, F.lit(1).alias("kind"), need(either), F.concat("more", F.transform("less", F.bitwise_not)).alias("e"))
     )
-    return rows.filter("size(e) >= need").mapInArrow(_prefixes, "key long, node long, weight long")
+    return rows.filter("size(e) >= need").mapInArrow(_prefixes, "key long, node long, weight long, label long")
 
 
 def _grouped(docs: DataFrame, buckets: DataFrame, t: float) -> DataFrame | None:
     """(node, label) of linked nodes, from buckets (key, node, weight); null if nothing is linked."""
     u = materialise(unit_lists(docs, materialise(buckets.select("node").distinct())))
     label, links, few = None, None, FEW
+    buckets = buckets.withColumn("label", F.col("node"))
     while True:
-        b = materialise(_open(_labelled(buckets, label)))
+        b = materialise(_open(buckets))
         count = b.agg(F.count("*").alias("rows"), F.count(F.when(F.col("n") > few, 1)).alias("large")).first()
         if not count["rows"]:
             return label if links is None else components(links)
