@@ -205,32 +205,6 @@ def grouped_features(features: DataFrame, tolerance: float = 0.05, cap: int = 5)
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("volume_id").orderBy(F.col("strongest").desc(), "length"))).filter(F.col("rank") <= cap)
 
 
-def rotation_of(matrices: DataFrame) -> DataFrame:
-    """Angle (degrees) of rotation matrices m (array of nine, row-major)."""
-    m = F.col("m")
-    return matrices.withColumn("angle", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (m[0] + m[4] + m[8] - 1) / 2)))))
-
-
-def small_rotation(offsets: DataFrame) -> DataFrame:
-    """The small rotation ω that best explains offsets d of centres q (ω × q ≈ d): nine sums, a 3×3 solve in columns.
-
-    offsets: (volume_id, qx, qy, qz, dx, dy, dz).  Returns wx, wy, wz and the share of squared offsets explained.
-    """
-    from ..functions.geometry import inverse
-
-    q, d = [F.col(f"q{a}") for a in "xyz"], [F.col(f"d{a}") for a in "xyz"]
-    q2 = q[0] * q[0] + q[1] * q[1] + q[2] * q[2]
-    cross = [q[1] * d[2] - q[2] * d[1], q[2] * d[0] - q[0] * d[2], q[0] * d[1] - q[1] * d[0]]
-    g = offsets.groupBy("volume_id").agg(
-        *[F.sum((q2 if i == j else F.lit(0.0)) - q[i] * q[j]).alias(f"m{i}{j}") for i in range(3) for j in range(3)],
-        *[F.sum(cross[i]).alias(f"b{i}") for i in range(3)], F.sum(d[0] ** 2 + d[1] ** 2 + d[2] ** 2).alias("all"), F.count("*").alias("n"),
-    )
-    inv = inverse([F.col(f"m{i}{j}") for i in range(3) for j in range(3)])
-    w = [inv[3 * i] * F.col("b0") + inv[3 * i + 1] * F.col("b1") + inv[3 * i + 2] * F.col("b2") for i in range(3)]
-    g = g.select("volume_id", "n", "all", "b0", "b1", "b2", *[x.alias(f"w{a}") for x, a in zip(w, "xyz", strict=True)])
-    return g.select("volume_id", "n", "wx", "wy", "wz", ((F.col("wx") * F.col("b0") + F.col("wy") * F.col("b1") + F.col("wz") * F.col("b2")) / F.col("all")).alias("r2"))
-
-
 def positions_of(wave_vectors: DataFrame, ops: tuple[tuple[int, ...], ...], orders: int, unit: int = 10_000) -> DataFrame:
     """Satellite positions of wave vectors (h, k, l as whole 1/unit) over a group's operations and orders, modulo the lattice."""
     o = F.array(*[F.array(*[F.lit(x) for x in m]) for m in ops])

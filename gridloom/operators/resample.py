@@ -44,14 +44,16 @@ def regrid(bins: DataFrame, volumes: DataFrame, targets: DataFrame, matrix: tupl
     return v.select("volume_id", F.col("th").alias("ih"), F.col("tk").alias("ik"), F.col("tl").alias("il"), F.coalesce("value", F.lit(0.0)).alias("intensity"), F.col("value").isNotNull().alias("measured"))
 
 
-def pair_differences(sites: DataFrame) -> DataFrame:
+def pair_differences(sites: DataFrame, key: str | None = None) -> DataFrame:
     """Interatomic differences of a cell's sites (site, x, y, z, weight), reduced to [0, 1); each ordered pair once.
 
-    Sites are one structure's (bounded, checked); the pairs are its own, not the data's.
+    Sites are one structure's, or those of many by ``key``, joined within their structure; the pairs are a cell's own
+    (bounded by its sites), not the data's.
     """
-    b = sites.select(*[F.col(c).alias(f"{c}2") for c in ("site", "x", "y", "z", "weight")])
-    j = sites.join(hinted(b), F.col("site") != F.col("site2"))
-    return j.select("site", "site2", *[F.round(F.pmod(F.col(f"{c}2") - F.col(c), F.lit(1.0)), 9).alias(c) for c in "xyz"], (F.col("weight") * F.col("weight2")).alias("weight"))
+    cols = ("site", "x", "y", "z", "weight")
+    b = sites.select(*([key] if key else []), *[F.col(c).alias(f"{c}2") for c in cols])
+    j = sites.join(b, key).filter("site <> site2") if key else sites.join(hinted(b), F.col("site") != F.col("site2"))
+    return j.select(*([key] if key else []), "site", "site2", *[F.round(F.pmod(F.col(f"{c}2") - F.col(c), F.lit(1.0)), 9).alias(c) for c in "xyz"], (F.col("weight") * F.col("weight2")).alias("weight"))
 
 
 def pair_vectors(differences: DataFrame, reach: int) -> DataFrame:

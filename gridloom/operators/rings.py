@@ -24,16 +24,33 @@ def cubic_lines(spark: SparkSession, a: float, q_max: float, centring: str = "F"
     return g.withColumn("q", 2 * math.pi / a * F.sqrt("n")).filter(F.col("q") <= q_max)
 
 
-def powder_lines(reflections: DataFrame, atoms: DataFrame, volume: float) -> DataFrame:
+def cubic_lines_of(cells: DataFrame, q_max: float, centring: str = "F") -> DataFrame:
+    """:func:`cubic_lines` of each cell (volume_id, a); equal lattice constants share one list."""
+    sides = cells.filter("a > 0").select("a").distinct()
+    m = F.floor(q_max * F.col("a") / (2 * math.pi)).cast("int")
+    for x in "hkl":
+        sides = sides.withColumn(x, F.explode(F.sequence(-m, m)))
+    h, k, l = (F.abs(x) % 2 for x in "hkl")
+    keep = {"F": (h == k) & (k == l), "I": (h + k + l) % 2 == 0, "P": F.lit(True)}[centring]
+    n = (F.col("h") * F.col("h") + F.col("k") * F.col("k") + F.col("l") * F.col("l")).cast("long")
+    lines = sides.withColumn("n", n).filter(keep & (F.col("n") > 0)).groupBy("a", "n").agg(F.count("*").alias("multiplicity"))
+    lines = lines.withColumn("q", 2 * math.pi / F.col("a") * F.sqrt("n")).filter(F.col("q") <= q_max)
+    return cells.select("volume_id", "a").join(lines, "a").select("volume_id", "n", "multiplicity", "q")
+
+
+def powder_lines(reflections: DataFrame, atoms: DataFrame, volume: float, key: str | None = None) -> DataFrame:
     """Intensity of each reflection: |F|² / (V²·Q²) from atoms (x, y, z, weight) of the cell; absences are left out.
 
-    The atom table is one cell's (bounded, checked); each reflection sums over it in a combined group-by.
+    Without ``key`` the atom table is one cell's (bounded, checked); with it, reflections and atoms meet within their
+    structure.  Each reflection sums over its atoms in a combined group-by.
     """
+    own = [key] if key else []
     phase = 2 * math.pi * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
-    j = reflections.join(hinted(atoms)).withColumn("_p", phase)
-    g = j.groupBy("h", "k", "l", "q").agg(F.sum(F.col("weight") * F.cos("_p")).alias("re"), F.sum(F.col("weight") * F.sin("_p")).alias("im"), F.sum(F.abs("weight")).alias("all"))
+    j = (reflections.join(atoms, key) if key else reflections.join(hinted(atoms))).withColumn("_p", phase)
+    g = j.groupBy(*own, "h", "k", "l", "q").agg(F.sum(F.col("weight") * F.cos("_p")).alias("re"), F.sum(F.col("weight") * F.sin("_p")).alias("im"), F.sum(F.abs("weight")).alias("all"))
     f2 = F.col("re") ** 2 + F.col("im") ** 2
-    return g.withColumn("f2", f2).filter(F.col("f2") > 1e-8 * F.col("all") ** 2).select("h", "k", "l", "q", "f2", (F.col("f2") / (volume**2 * F.col("q") ** 2)).alias("intensity"))
+    g = g.withColumn("f2", f2).filter(F.col("f2") > 1e-8 * F.col("all") ** 2)
+    return g.select(*own, "h", "k", "l", "q", "f2", (F.col("f2") / (volume**2 * F.col("q") ** 2)).alias("intensity"))
 
 
 def matched(rings: DataFrame, lines: DataFrame, tolerance: float) -> DataFrame:

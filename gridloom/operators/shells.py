@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.form_factor import form_factor
+from ..functions.geometry import inverse
 from ..functions.sizes import hinted
 from .filters import measured
 
@@ -171,6 +175,41 @@ def fit_pedestal(floors: DataFrame, q_low: float, q_high: float, q2: bool = True
     return g.select("volume_id", "const", "slope", F.when(total > 0, 1 - rest / total).alias("r2"))
 
 
+def fit_terms(floors: DataFrame, q_low: float, q_high: float, ion: Sequence[float] | None = None, q2: bool = True) -> DataFrame:
+    """Least squares of the floors on 1, F² of an ion and Q² per volume: const, c, b, r2 (null where there is nothing to explain).
+
+    Shells of the range are used, or all of them where fewer than two lie in it; a volume with fewer shells than terms
+    gets their mean.  Normal sums of one group-by, solved in columns.
+    """
+    inside = F.col("q").between(q_low, q_high)
+    f = floors.filter("floor is not null").withColumn("_in", F.count_if(inside).over(Window.partitionBy("volume_id"))).filter(inside | (F.col("_in") < 2))
+    one, q = F.lit(1.0), F.col("q")
+    f = f.select("volume_id", F.col("floor").alias("_y"), one.alias("_x0"), (form_factor(q, ion) ** 2 if ion else F.lit(0.0)).alias("_x1"), (q * q if q2 else F.lit(0.0)).alias("_x2"))
+    s = lambda a, b: F.sum(F.col(f"_{a}") * F.col(f"_{b}"))
+    g = f.groupBy("volume_id").agg(
+        *[s(f"x{i}", f"x{j}").alias(f"m{i}{j}") for i in range(3) for j in range(3)], *[s(f"x{i}", "y").alias(f"b{i}") for i in range(3)],
+        s("y", "y").alias("yy"), F.count("*").alias("n"),
+    )
+    used = [True, ion is not None, q2]  # a term that is not fitted gets the equation x = 0
+    m = [F.col(f"m{i}{j}") if used[i] and used[j] else F.lit(float(i == j)) for i in range(3) for j in range(3)]
+    inv, y = inverse(m), [F.col(f"b{i}") for i in range(3)]
+    enough = F.col("n") >= sum(used)
+    x = [F.when(enough, inv[3 * i] * y[0] + inv[3 * i + 1] * y[1] + inv[3 * i + 2] * y[2]) if used[i] else F.lit(0.0) for i in range(3)]
+    g = g.withColumn("const", F.coalesce(x[0], F.col("b0") / F.col("n"))).withColumn("c", F.coalesce(x[1], F.lit(0.0))).withColumn("b", F.coalesce(x[2], F.lit(0.0)))
+    total = F.col("yy") - F.col("b0") * F.col("b0") / F.col("n")
+    rest = F.col("yy") - F.col("const") * F.col("b0") - F.col("c") * F.col("b1") - F.col("b") * F.col("b2")
+    return g.select("volume_id", "const", "c", "b", F.when(enough & (total > 0), 1 - rest / total).alias("r2"))
+
+
+def flatten_terms(bins: DataFrame, terms: DataFrame, q_high: float, ion: Sequence[float] | None = None) -> DataFrame:
+    """bins with const + c·F² + b·Q² taken off measured ones (Q² held at the end of the fit range); no fit, no change."""
+    b = bins.join(terms.select("volume_id", "const", "c", "b"), "volume_id", "left")
+    q = F.least(F.col("q"), F.lit(q_high))
+    shape = form_factor(F.col("q"), ion) ** 2 if ion else F.lit(0.0)
+    b = b.withColumn("pedestal", F.coalesce(F.col("const") + F.col("c") * shape + F.col("b") * q * q, F.lit(0.0)))
+    return b.withColumn("intensity", F.when(F.col("measured"), F.col("intensity") - F.col("pedestal")).otherwise(F.col("intensity"))).drop("const", "c", "b")
+
+
 def flatten(bins: DataFrame, coefficients: DataFrame, q_high: float) -> DataFrame:
     """bins with the pedestal const + slope·Q² taken off (Q held at the end of the fit range)."""
     q = F.least(F.col("q"), F.lit(q_high))

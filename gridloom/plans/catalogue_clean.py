@@ -101,25 +101,3 @@ def _(b, v):
 @query("dom_feature_groups")
 def _(b, v):
     return r6(cl.grouped_features(tr.strongest(tr.delta_pdf(b, v, "hann"), 3.0)), "strongest", "length")
-
-
-@query("sca_rotation_angle", " SELECT DISTINCT volume_id, 30.0e0 AS angle FROM bins")
-def _(b, v):
-    c, s = F.cos(F.radians(F.lit(30.0))), F.sin(F.radians(F.lit(30.0)))
-    z, o = F.lit(0.0), F.lit(1.0)
-    return r6(cl.rotation_of(b.select("volume_id").distinct().withColumn("m", F.array(c, -s, z, s, c, z, z, z, o))).select("volume_id", "angle"), "angle")
-
-
-@query("dom_small_rotation", " SELECT volume_id, COUNT(*) AS n, 0.01e0 AS wx, -0.02e0 AS wy, 0.03e0 AS wz, 1.0e0 AS r2 FROM bins WHERE measured GROUP BY 1")
-def _(b, v):
-    q = geo.q_vector(src.UB, F.col("h"), F.col("k"), F.col("l"))
-    p = b.filter("measured").select("volume_id", *[x.alias(f"q{a}") for x, a in zip(q, "xyz", strict=True)])
-    w = (0.01, -0.02, 0.03)
-    d = p.select("*", (w[1] * F.col("qz") - w[2] * F.col("qy")).alias("dx"), (w[2] * F.col("qx") - w[0] * F.col("qz")).alias("dy"), (w[0] * F.col("qy") - w[1] * F.col("qx")).alias("dz"))
-    return r6(cl.small_rotation(d), "wx", "wy", "wz", "r2")
-
-
-@query("dom_modulation_positions", """ SELECT DISTINCT volume_id, ph, 0 AS pk, 0 AS pl, 1 AS "order" FROM bins, (SELECT UNNEST([3333, 6667]) AS ph) UNION ALL SELECT DISTINCT volume_id, ph, 0, 0, 2 FROM bins, (SELECT UNNEST([6666, 3334]) AS ph)""")
-def _(b, v):
-    w = b.select("volume_id").distinct().withColumn("h", F.lit(3333)).withColumn("k", F.lit(0)).withColumn("l", F.lit(0))
-    return cl.positions_of(w, lat.MMM, 2)

@@ -76,12 +76,6 @@ _AL = """ al AS (SELECT CAST(h*h + k*k + l*l AS INT) AS n, COUNT(*) AS multiplic
    WHERE (h*h + k*k + l*l) > 0 AND (ABS(h) % 2 = ABS(k) % 2) AND (ABS(k) % 2 = ABS(l) % 2) AND 2 * 3.141592653589793 / 4.0494e0 * SQRT(h*h + k*k + l*l) <= 6.0 GROUP BY ALL)"""
 
 
-@query("sca_aluminium_lines", " SELECT v.volume_id, n, SUM(multiplicity)::BIGINT AS multiplicity, ROUND(MIN(q), 6) AS q FROM al, (SELECT DISTINCT volume_id FROM bins) v GROUP BY ALL", _AL)
-def _(b, v):
-    lines = rg.cubic_lines(b.sparkSession, 4.0494, 6.0)
-    return r6(b.select("volume_id").distinct().join(F.broadcast(lines)), "q")  # a dozen lines
-
-
 @query("jon_ring_lines", """, r AS (SELECT volume_id, shell, (shell + 0.5e0) * 0.25e0 AS q FROM pr WHERE value IS NOT NULL), l AS (SELECT n, MIN(q) AS lq FROM al GROUP BY 1)
     SELECT volume_id, q, (SELECT n FROM l WHERE ABS(lq - r.q) <= 0.12 ORDER BY ABS(lq - r.q), n LIMIT 1) AS line FROM r""", _PROF + "," + _AL)
 def _(b, v):
@@ -89,16 +83,6 @@ def _(b, v):
     return rg.matched(r, rg.cubic_lines(b.sparkSession, 4.0494, 6.0), 0.12).select("volume_id", "q", "line")
 
 
-@query("dom_powder_lines", """ SELECT h, k, l, ROUND(f2, 6) AS f2 FROM (SELECT h, k, l, SUM(w * COS(2 * 3.141592653589793 * (h*x + k*y + l*z)))**2 + SUM(w * SIN(2 * 3.141592653589793 * (h*x + k*y + l*z)))**2 AS f2
-    FROM (SELECT DISTINCT ih - 10 AS h, ik - 10 AS k, il - 5 AS l FROM bins WHERE ABS(ih - 10) <= 2 AND ABS(ik - 10) <= 2 AND ABS(il - 5) <= 2 AND NOT (ih = 10 AND ik = 10 AND il = 5)),
-    (VALUES (0.0e0, 0.0e0, 0.0e0, 13.0e0), (0.5e0, 0.5e0, 0.0e0, 13.0e0), (0.5e0, 0.0e0, 0.5e0, 13.0e0), (0.0e0, 0.5e0, 0.5e0, 13.0e0)) a(x, y, z, w) GROUP BY ALL) WHERE f2 > 1e-8 * 52**2""")
-def _(b, v):
-    hkl = b.select(*[(F.col(f"i{a}") - m).alias(a) for a, m in (("h", 10), ("k", 10), ("l", 5))]).distinct().filter("abs(h) <= 2 and abs(k) <= 2 and abs(l) <= 2 and not (h = 0 and k = 0 and l = 0)")
-    hkl = hkl.withColumn("q", 2 * math.pi / 4.0494 * F.sqrt(F.col("h") ** 2 + F.col("k") ** 2 + F.col("l") ** 2))
-    atoms = b.sparkSession.createDataFrame([(0.0, 0.0, 0.0, 13.0), (0.5, 0.5, 0.0, 13.0), (0.5, 0.0, 0.5, 13.0), (0.0, 0.5, 0.5, 13.0)], "x double, y double, z double, weight double")
-    return r6(rg.powder_lines(hkl, atoms, 4.0494**3).select("h", "k", "l", "f2"), "f2")
-
-
 def _windows(b):
     return b.sparkSession.createDataFrame([(1, 1.4, 1.7, "core"), (1, 1.1, 1.3, "flank"), (1, 1.8, 2.0, "flank"), (2, 2.1, 2.3, "core"), (2, 1.8, 2.0, "flank"), (2, 2.4, 2.6, "flank")], "window_id int, lo double, hi double, role string")
 
@@ -149,18 +133,6 @@ def _(b, v):
     return rs.at_points(b, v, p, ["site", "site2", "h", "k", "l"]).groupBy("volume_id", "site", "site2").agg(F.count("*").alias("n"))
 
 
-@query("dom_pair_counts", """, p AS (SELECT site, x, y, z FROM df, range(1)) SELECT site, COUNT(*) AS n, ROUND(MIN(SQRT(x*x + y*y + z*z)), 6) AS nearest FROM p GROUP BY 1""", _SITES_SQL)
-def _(b, v):
-    d = _differences(b).withColumn("r", geo.length(F.col("x"), F.col("y"), F.col("z")))
-    return r6(d.groupBy("site").agg(F.count("*").alias("n"), F.min("r").alias("nearest")), "nearest")
-
-
-@query("dom_cell_permutation", " SELECT DISTINCT volume_id, 'cab' AS perm, 0.0e0 AS misfit FROM bins")
-def _(b, v):
-    c = b.select("volume_id").distinct().withColumn("a", F.lit(6.0)).withColumn("b", F.lit(4.0)).withColumn("c", F.lit(5.0))
-    return r6(rs.permutation_fit(c, (4.0, 5.0, 6.0)), "misfit")
-
-
 @query("dom_colour_range")
 def _(b, v):
     pdf = tr.delta_pdf(b, v, "hann").filter("not (abs(x) < 0.3 and abs(y) < 0.3 and abs(z) < 0.3)")
@@ -173,12 +145,6 @@ def _(b, v):
     return s.groupBy("volume_id").agg(F.count("*").alias("n"), F.expr("percentile(intensity, 0.5)").alias("median"), F.max("intensity").alias("largest"))
 
 
-@query("sca_cell_metric", " SELECT DISTINCT volume_id, 20.25e0 AS aa, ROUND(4.5e0 * 4.5e0 * COS(RADIANS(120.0e0)), 6) AS ab, 36.0e0 AS cc FROM bins")
-def _(b, v):
-    m = geo.cell_to_metric(*[F.lit(x) for x in (4.5, 4.5, 6.0, 90.0, 90.0, 120.0)])
-    return r6(b.select("volume_id").distinct().select("volume_id", m[0].alias("aa"), m[1].alias("ab"), m[8].alias("cc")), "ab")
-
-
 @query("sca_real_radius", " SELECT volume_id, ih, ik, il, ROUND(SQRT(20.25e0*h*h + 20.25e0*k*k + 36.0e0*l*l + 2 * (4.5e0 * 4.5e0 * COS(RADIANS(120.0e0))) * h * k), 6) AS r FROM bins")
 def _(b, v):
     m = geo.cell_to_metric(*[F.lit(x) for x in (4.5, 4.5, 6.0, 90.0, 90.0, 120.0)])
@@ -186,14 +152,6 @@ def _(b, v):
     return r6(b.select(*KEY, F.sqrt(F.greatest(geo.quadratic(m, F.col("h"), F.col("k"), F.col("l")), F.lit(0.0))).alias("r")), "r")
 
 
-@query("sca_metric_change", " SELECT DISTINCT volume_id, ROUND(SQRT(2 * (1.4e0**2 - 1.2e0**2)**2) / SQRT(2 * 1.4e0**4 + 1.2e0**4), 6) AS change FROM bins")
-def _(b, v):
-    # swapping k and l of the tetragonal metric diag(1.4², 1.4², 1.2²)
-    g = v.join(b.select("volume_id").distinct(), "volume_id").select("volume_id", *[(F.col("ub")[i] * F.col("ub")[i]).alias(f"g{i}") for i in (0, 4, 8)])
-    d = F.sqrt(2 * (F.col("g4") - F.col("g8")) ** 2) / F.sqrt(F.col("g0") ** 2 + F.col("g4") ** 2 + F.col("g8") ** 2)
-    return r6(g.select("volume_id", d.alias("change")), "change")
-
-
 # --- lineage ----------------------------------------------------------------------------------------------
 
 

@@ -54,13 +54,13 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue, catalogue_clean, catalogue_more, catalogue_whole  # noqa: F401  (they register on import)
+    from . import catalogue, catalogue_clean, catalogue_more, catalogue_tables, catalogue_whole  # noqa: F401  (they register on import)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue, catalogue_clean, catalogue_more, catalogue_whole  # noqa: F401
+    from . import catalogue, catalogue_clean, catalogue_more, catalogue_tables, catalogue_whole  # noqa: F401
 
     return dict(ORACLES)
 

@@ -30,12 +30,13 @@ qbins AS (
 """
 
 
-def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per bin of three volumes on a 21×21×11 grid, by one combined group-by."""
+def from_lineitem(spark: SparkSession, sf_dir: str, run: int | None = None) -> DataFrame:
+    """One row per bin of three volumes (or three per run of orders) on a 21×21×11 grid, by one combined group-by."""
+    name = F.col("l_returnflag") if run is None else F.concat_ws("-", "l_returnflag", F.expr(f"l_orderkey div {run}").cast("string"))
     cell = (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .groupBy(
-            F.col("l_returnflag").alias("volume_id"),
+            name.alias("volume_id"),
             (F.col("l_orderkey") % 21).cast("int").alias("ih"),
             (F.col("l_partkey") % 21).cast("int").alias("ik"),
             (F.col("l_suppkey") % 11).cast("int").alias("il"),
@@ -50,6 +51,15 @@ def from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The same grid folded out of runs of 500 orders, so volumes and bins grow with the table.
+SCANS_SQL = BINS_SQL.replace("l_returnflag AS volume_id", "l_returnflag || '-' || CAST(l_orderkey // 500 AS VARCHAR) AS volume_id")
+
+
+def scans(spark: SparkSession, sf_dir: str, run: int = 500) -> DataFrame:
+    """Bins with q of one volume per return flag and run of orders: their number grows with ``lineitem``."""
+    return from_lineitem(spark, sf_dir, run).withColumn("q", q_magnitude(UB, F.col("h"), F.col("k"), F.col("l")))
+
+
 def volumes_of(bins: DataFrame, shape: tuple[int, int, int] = SHAPE, step: float = 0.2, ub: tuple[float, ...] = UB) -> DataFrame:
     """The ``volumes`` row of each volume of a regular grid whose middle bin is 0 on every axis."""
     v = bins.select("volume_id").distinct()
