@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizes import hinted
+from ..functions.sizes import bounded, hinted
 
 
 def measured() -> Column:
@@ -54,7 +54,7 @@ def section_between(bins: DataFrame, plane: str, value: float) -> DataFrame:
 
 def ring_mask(bins: DataFrame, rings: DataFrame) -> DataFrame:
     """Bins whose |Q| lies in no shell (q_lo, q_hi) of rings."""
-    return bins.join(hinted(rings), F.col("q").between(F.col("q_lo"), F.col("q_hi")), "left_anti")
+    return bins.join(bounded(rings), F.col("q").between(F.col("q_lo"), F.col("q_hi")), "left_anti")
 
 
 def near_node(cell: tuple[int, int, int], ub: tuple[float, ...], radius: float) -> Column:
@@ -75,7 +75,7 @@ def protected(bins: DataFrame, positions: DataFrame) -> DataFrame:
     """bins with ``position_id``: the first declared band (fh, fk, fl, centre, half, period) that covers each, else null."""
     x = F.col("fh") * F.col("h") + F.col("fk") * F.col("k") + F.col("fl") * F.col("l")
     d = F.abs(F.pmod(x - F.col("centre") + F.col("period") / 2, F.col("period")) - F.col("period") / 2)
-    hit = bins.select("volume_id", "ih", "ik", "il", "h", "k", "l").join(hinted(positions), d <= F.col("half"))
+    hit = bins.select("volume_id", "ih", "ik", "il", "h", "k", "l").join(bounded(positions), d <= F.col("half"))
     hit = hit.groupBy("volume_id", "ih", "ik", "il").agg(F.min("position_id").alias("position_id"))
     return bins.join(hit, ["volume_id", "ih", "ik", "il"], "left")
 
@@ -88,7 +88,7 @@ def nearest_position(points: DataFrame, positions: DataFrame) -> DataFrame:
     x = F.col("fh") * F.col("h") + F.col("fk") * F.col("k") + F.col("fl") * F.col("l")
     d = F.abs(F.pmod(x - F.col("centre") + F.col("period") / 2, F.col("period")) - F.col("period") / 2)
     keys = points.columns
-    g = points.join(hinted(positions)).withColumn("_d", d).groupBy(*keys).agg(F.min(F.struct("_d", "position_id")).alias("_m"))
+    g = points.join(bounded(positions)).withColumn("_d", d).groupBy(*keys).agg(F.min(F.struct("_d", "position_id")).alias("_m"))
     return g.select(*keys, F.col("_m.position_id").alias("position_id"), F.col("_m._d").alias("distance"))
 
 
@@ -111,7 +111,7 @@ def line_profile(bins: DataFrame, start: tuple, end: tuple, n: int, origin: tupl
         w = w * F.when(F.col(f"_c{a}") == 1, f).otherwise(1 - f)
     c = c.withColumn("_w", w).filter("_w > 1e-9").select("point", "ih", "ik", "il", "_w")
     vols = hinted(bins.select("volume_id").distinct())
-    c = hinted(c).crossJoin(vols)  # n points times 8 corners times volumes
+    c = bounded(c).crossJoin(vols)  # n points times 8 corners times volumes
     got = c.join(bins.filter(measured()).select("volume_id", "ih", "ik", "il", "intensity"), ["volume_id", "ih", "ik", "il"], "left")
     g = got.groupBy("volume_id", "point").agg(F.sum(F.col("_w") * F.col("intensity")).alias("_s"), F.sum("_w").alias("_t"), F.sum(F.when(F.col("intensity").isNotNull(), F.col("_w"))).alias("_g"))
     return g.select("volume_id", "point", F.when(F.col("_g") >= F.col("_t") - 1e-6, F.col("_s") / F.col("_t")).alias("value"))

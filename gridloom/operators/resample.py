@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizes import hinted
+from ..functions.sizes import bounded, hinted
 from .filters import measured
 
 BINKEY = ["volume_id", "ih", "ik", "il"]
@@ -52,7 +52,7 @@ def pair_differences(sites: DataFrame, key: str | None = None) -> DataFrame:
     """
     cols = ("site", "x", "y", "z", "weight")
     b = sites.select(*([key] if key else []), *[F.col(c).alias(f"{c}2") for c in cols])
-    j = sites.join(b, key).filter("site <> site2") if key else sites.join(hinted(b), F.col("site") != F.col("site2"))
+    j = sites.join(b, key).filter("site <> site2") if key else sites.join(bounded(b), F.col("site") != F.col("site2"))
     return j.select(*([key] if key else []), "site", "site2", *[F.round(F.pmod(F.col(f"{c}2") - F.col(c), F.lit(1.0)), 9).alias(c) for c in "xyz"], (F.col("weight") * F.col("weight2")).alias("weight"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizes import hinted
+from ..functions.sizes import bounded
 from .filters import measured
 
 
@@ -46,7 +46,7 @@ def powder_lines(reflections: DataFrame, atoms: DataFrame, volume: float, key: s
     """
     own = [key] if key else []
     phase = 2 * math.pi * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
-    j = (reflections.join(atoms, key) if key else reflections.join(hinted(atoms))).withColumn("_p", phase)
+    j = (reflections.join(atoms, key) if key else reflections.join(bounded(atoms))).withColumn("_p", phase)
     g = j.groupBy(*own, "h", "k", "l", "q").agg(F.sum(F.col("weight") * F.cos("_p")).alias("re"), F.sum(F.col("weight") * F.sin("_p")).alias("im"), F.sum(F.abs("weight")).alias("all"))
     f2 = F.col("re") ** 2 + F.col("im") ** 2
     g = g.withColumn("f2", f2).filter(F.col("f2") > 1e-8 * F.col("all") ** 2)
@@ -55,7 +55,7 @@ def powder_lines(reflections: DataFrame, atoms: DataFrame, volume: float, key: s
 
 def matched(rings: DataFrame, lines: DataFrame, tolerance: float) -> DataFrame:
     """Each ring (volume_id, q) with its nearest line within a tolerance, or null."""
-    l = hinted(lines.select(F.col("q").alias("line_q"), F.col("n").alias("line")))
+    l = bounded(lines.select(F.col("q").alias("line_q"), F.col("n").alias("line")))
     d = F.abs(F.col("q") - F.col("line_q"))
     near = rings.join(l, d <= tolerance).groupBy("volume_id", "q").agg(F.min(F.struct(d.alias("d"), "line")).alias("_m"))
     return rings.join(near, ["volume_id", "q"], "left").select(*rings.columns, F.col("_m.line").alias("line"), F.col("_m.d").alias("distance"))
@@ -77,7 +77,7 @@ def cell_heights(bins: DataFrame, ub: tuple[float, ...], windows: DataFrame, n_c
 
     v = q_vector(ub, F.col("h"), F.col("k"), F.col("l"))
     b = bins.filter(measured() & (F.col("q") > 0)).withColumn("cell", direction_cell(*v, F.col("q"), n_cos, n_phi))
-    j = b.select("volume_id", "cell", "q", "intensity").join(hinted(windows), (F.col("q") >= F.col("lo")) & (F.col("q") < F.col("hi")))
+    j = b.select("volume_id", "cell", "q", "intensity").join(bounded(windows), (F.col("q") >= F.col("lo")) & (F.col("q") < F.col("hi")))
     f, c = F.col("role") == "flank", F.col("role") == "core"
     g = j.groupBy("volume_id", "window_id", "cell").agg(
         F.regr_slope(F.when(f, F.col("intensity")), F.when(f, F.col("q"))).alias("slope"), F.regr_intercept(F.when(f, F.col("intensity")), F.when(f, F.col("q"))).alias("base"),

@@ -163,3 +163,11 @@ def test_weighted_median(spark):
 
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 1.0), ("a", 9.0, 5.0), ("b", 4.0, 2.0)], "g string, v double, w double")
     assert {r.g: r.median for r in cl.weighted_median(df, ["g"], "v", "w").collect()} == {"a": 9.0, "b": 4.0}
+
+
+def test_a_large_side_without_a_key_is_refused(spark):
+    from gridloom.functions.sizes import bounded
+
+    assert bounded(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError):
+        bounded(spark.range(4), 3)
