@@ -40,7 +40,8 @@ COVER = (3, 6, 7, 12, 14)
 ANCHOR = WIDTH - PERIOD + 1
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_NO_ID = -(2**63)
+#: Key of the rows that only tell that a hash repeats; their negative code is never read back.
+_TOLD = -(2**63)
 #: Codes hold a place in their low 32 bits, then the row's number among those of its doc_id, then this mark.
 KNOWN = 1 << 62
 #: Anchors only pick what is hashed again, so fewer bits do: a chance meeting costs a little work, no result.
@@ -77,7 +78,7 @@ def _dealt(h: np.ndarray, key: pa.Array, code: np.ndarray, names: list[str]) ->
     return _rows(
         names,
         pa.array(np.concatenate([out, told]).view(np.int64)),
-        pa.concat_arrays([key, pa.array(np.full(n, _NO_ID), pa.int64())]),
+        pa.concat_arrays([key, pa.array(np.full(n, _TOLD), pa.int64())]),
         pa.array(np.concatenate([code + known * KNOWN, np.full(n, -1, np.int64)])),
     )
 
@@ -184,7 +185,8 @@ def cut(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[
     # inner columns must not clash with those of docs, so docs' others travel in one struct
     names = [c for c in docs.columns if c != "text"]
     base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"),
+        # rows may share a key, so a text's hash serves where there is no id and no key gathers all such rows
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).alias("k"),
         F.col("text").cast("string").alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
     )

@@ -29,6 +29,16 @@ def test_matches_brute_force(spark):
     assert substring.digest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    a = prose(90, 36)
+    rows = [(None, f"{a} {prose(91 + i, 40)}") for i in range(20)] + [(None, prose(200, 60))] * 3 + [(None, None), (None, ""), (-(2**63), f"{prose(201, 5)} {a}")]
+    docs = frame(spark, rows)
+    keyed = docs.selectExpr("xxhash64(text) id", "text").filter("text is not null").limit(1).first()
+    rows.append((keyed.id, prose(202, 50) + " " + prose(200, 40)))  # an id that is the hash of another row's text
+    got = substring.digest(frame(spark, rows)).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows)
+
+
 def test_real_table_matches_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = sorted(str(tuple(r)) for r in substring.digest(docs).collect())
