@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, quality
+from . import chat, decontam, quality, search
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -100,4 +100,5 @@ ALL = {
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op7_decontamination": DECONTAM,
     "op9_substring_dedup": SUBSTRING,
+    "op11_lexical_search": search.ORACLE_SQL,
 }
