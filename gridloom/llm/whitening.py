@@ -37,6 +37,8 @@ COMPONENTS = 16
 SCALE, OFFSET = 64, 1_000_000
 #: Partitions' matrices that meet in one task of the tree.
 FAN_IN = 32
+#: Vectors in a partition of a large table.
+PART_ROWS = 25_000
 #: A matrix of so many rows and columns takes 32 MB; it is sent to all executors.
 MOST_DIMENSIONS = 2048
 #: Least eigenvalue of a component, as a share of the largest.
@@ -67,22 +69,21 @@ def secular(d: np.ndarray, z: np.ndarray, rho: float) -> tuple[np.ndarray, np.nd
         for _ in range(100):
             gap = poles - t[:, None]
             r = z2 / gap
-            f = 1 + rho * r.sum(1)
-            if (np.abs(f) <= 2 * EPS * k * (1 + rho * np.abs(r).sum(1))).all():
-                break
             slope = rho * r / gap
+            f, steep = 1 + rho * r.sum(1), slope.sum(1)
+            # what the rounding of the sum and of the root's own place leave
+            done = np.abs(f) <= 4 * EPS * (k + rho * np.abs(r).sum(1) + np.abs(t) * steep)
+            if done.all():
+                break
             psi = np.einsum("ij,ij->i", slope, below)
-            phi = slope.sum(1) - psi
+            phi = steep - psi
             lo, hi = np.where(f < 0, t, lo), np.where(f < 0, hi, t)
             d0, d1 = own - t, top - t
-            a, b, c = (d0 + d1) * f - d0 * d1 * (psi + phi), d0 * d1 * f, f - d0 * psi - d1 * phi
+            a, b, c = (d0 + d1) * f - d0 * d1 * steep, d0 * d1 * f, f - d0 * psi - d1 * phi
             root = np.sqrt(np.maximum(a * a - 4 * b * c, 0))
             new = t + np.where(a <= 0, (a - root) / (2 * c), 2 * b / (a + root))
             inside = np.where(lo == 0, hi / 10, np.where(hi == 0, lo / 10, (lo + hi) / 2))
-            new = np.where((new > lo) & (new < hi), new, inside)
-            if (new == t).all():
-                break
-            t = new
+            t = np.where(done | (new == t), t, np.where((new > lo) & (new < hi), new, inside))
         away = t[:, None] - poles  # root j less pole i
         between = d[:, None] - d
         np.fill_diagonal(between, 1.0)
@@ -145,17 +146,17 @@ class Spectrum:
         self.n, self.sums = self.n + o.n, self.sums + o.sums
 
 
-def vectors(df: DataFrame, name: str = "embedding") -> tuple[DataFrame, int]:
-    """df's vec_id and x, whole numbers, of the rows that have all entries; and the dimension."""
+def vectors(df: DataFrame, name: str = "embedding") -> tuple[DataFrame, int, int]:
+    """df's vec_id and x, whole numbers, of the rows that have all entries; the dimension and the number of rows."""
     e = F.col(name)
     finite = F.forall(e, lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(c.cast("double")))
     x = F.transform(e, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")) + F.lit(OFFSET))
     df = df.filter(e.isNotNull()).filter(finite)
     lengths = df.groupBy(F.size(e).alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    dims = lengths.d if lengths else 0
+    dims, n = (lengths.d, lengths.n) if lengths else (0, 0)
     if dims > MOST_DIMENSIONS:
         raise ValueError(f"vectors of {dims} entries; at most {MOST_DIMENSIONS} are taken")
-    return df.filter(F.size(e) == dims).select("vec_id", x.alias("x")), dims
+    return df.filter(F.size(e) == dims).select("vec_id", x.alias("x")), dims, n
 
 
 def _rows(batch: pa.RecordBatch, dims: int) -> np.ndarray:
@@ -240,8 +241,10 @@ def whiten(df: DataFrame, components: int = COMPONENTS) -> DataFrame:
         [df.schema["vec_id"], StructField("component", IntegerType()), StructField("n", LongType()), StructField("deviation", LongType())]
         + [StructField(c, DoubleType()) for c in ("whitened", "explained", "identity_error")]
     )
-    rows, dims = vectors(df)
-    fit = materialise(rows.select("x").distinct()) if dims else None
+    rows, dims, n_rows = vectors(df)
+    # an update costs far more than moving its vector, so the few distinct vectors of a small table are dealt to all cores
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // PART_ROWS))
+    fit = materialise(rows.select("x").distinct().repartition(parts)) if dims else None
     s = spectrum(fit, dims) if dims else Spectrum(1)
     if s.n < 2:
         return df.sparkSession.createDataFrame([], schema)
