@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html, licenses, minhash, oracles, pieces, quality, search, sharding, substring, tokens, whitening
+from . import chat, decontam, html, licenses, minhash, oracles, pieces, quality, search, sharding, substring, tokens, toxicity, whitening
 from .common import read
 
 
@@ -58,6 +58,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_hilbert_shards": op10_hilbert_shards,
         "op11_lexical_search": op11_lexical_search,
+        "op12_toxicity": op12_toxicity,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
 
