@@ -250,11 +250,11 @@ def _neighbours(p: DataFrame, reach: float) -> DataFrame:
     return pairs.groupBy(*_PEAK).agg(F.collect_list(F.struct(*[x.alias(a) for a, x in zip("xyz", d, strict=True)])).alias("others"))
 
 
-def stack_samples(peaks: DataFrame, bins: DataFrame, volumes: DataFrame, reach: float = 0.5, most: int = 400, least_bins: int = 30) -> DataFrame:
+def stack_samples(peaks: DataFrame, bins: DataFrame, volumes: DataFrame, reach: float = 0.5, most: int = 400, least_bins: int = 30, least_share: float = 0.9) -> DataFrame:
     """Normalised excess of the brightest peaks in thin cylinders along Q and its two tangents.
 
     peaks: (volume_id, peak_id, ih, ik, il, significance), centres ch, ck, cl if fitted.  A peak counts when it is more than twice the
-    reach from the origin, 90 % of its box on the grid is measured, at least ``least_bins`` bins lie beyond 0.8 × the reach (their median is the
+    reach from the origin, 90 % (``least_share``) of its box on the grid is measured, at least ``least_bins`` bins lie beyond 0.8 × the reach (their median is the
     background) and its own bin stands above them; the ``most`` most significant of a volume are kept.  Bins nearer to
     another peak are left out.  (volume_id, peak_id, q, axis, d, value): axis 0 along Q, 1 polar, 2 around c*.
     """
@@ -284,7 +284,7 @@ def stack_samples(peaks: DataFrame, bins: DataFrame, volumes: DataFrame, reach:
         F.expr("percentile(case when _far then intensity end, 0.5)").alias("background"), F.count_if("_far").alias("_n"), (F.count("*") / F.max("_grid")).alias("_share"),
         F.max(F.when(top, F.col("intensity"))).alias("_top"), F.max("significance").alias("_z"),
     )
-    g = g.filter((F.col("_n") >= least_bins) & (F.col("_share") >= 0.9) & (F.col("_top") > F.col("background")))
+    g = g.filter((F.col("_n") >= least_bins) & (F.col("_share") >= least_share) & (F.col("_top") > F.col("background")))
     w = Window.partitionBy("volume_id").orderBy(F.desc("_z"), "peak_id")
     g = g.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= most).select(*_PEAK, "background", (F.col("_top") - F.col("background")).alias("_amp"))
     j = j.filter("_own").join(g, _PEAK).withColumn("value", (F.col("intensity") - F.col("background")) / F.col("_amp"))
