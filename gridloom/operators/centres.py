@@ -20,7 +20,7 @@ WINDOW_BINS = 1.5
 _NODE = "volume_id string, nh int, nk int, nl int, peak_id long, ch double, ck double, cl double, excess double, significance double, status string"
 
 
-def predicted_nodes(volumes: DataFrame, cell: Sequence[int] = (1, 1, 1)) -> DataFrame:
+def predicted_nodes(volumes: DataFrame, cell: Sequence[int] = (1, 1, 1), window: float = WINDOW_BINS) -> DataFrame:
     """Nodes of each volume with where its ``ub_now`` (its own UB without one) puts them: ch, ck, cl in the volume's h, k, l, and |Q| as q.
 
     ``width`` is the centring window (Å⁻¹) and ``per`` the bins along each axis that 1 Å⁻¹ reaches.  Candidates are the multiples of cell in the
@@ -45,7 +45,7 @@ def predicted_nodes(volumes: DataFrame, cell: Sequence[int] = (1, 1, 1)) -> Data
                 for c in ("volume_id", *[f"{x}{a}" for a in "hkl" for x in ("n", "d")], *[f"{a}0" for a in "hkl"]):
                     out[c] = getattr(r, c)
                 out["ub"] = [list(r.ub)] * len(out)
-                out["width"] = WINDOW_BINS * abs(np.linalg.det(ub) * np.prod(step)) ** (1 / 3)
+                out["width"] = window * abs(np.linalg.det(ub) * np.prod(step)) ** (1 / 3)
                 out["per"] = [(np.linalg.norm(np.linalg.inv(ub), axis=1) / np.abs(step)).tolist()] * len(out)
                 yield out[out["q"] > 0]
 
@@ -78,17 +78,19 @@ def windowed_centre(q: np.ndarray, excess: np.ndarray, start: np.ndarray, width:
 
 
 def measured_centres(
-    bins: DataFrame, volumes: DataFrame, reach: float = 0.25, least: float = 10.0, cell: Sequence[int] = (1, 1, 1), q_min: float = 0.0, q_max: float | None = None, least_shell: int = 7
+    bins: DataFrame, volumes: DataFrame, reach: float = 0.25, least: float = 10.0, cell: Sequence[int] = (1, 1, 1), q_min: float = 0.0, q_max: float | None = None, least_shell: int = 7,
+    window: float = WINDOW_BINS,
 ) -> DataFrame:
     """The peak of each node and its centre (r.l.u. of the volume): (volume_id, nh, nk, nl, ch, ck, cl, excess, significance, status).
 
     A node's peak is the brightest measured bin within ``reach`` (Å⁻¹; the least index of equals) of where the node is predicted.  The shell out to twice
     the reach gives background and noise (median and 1.4826·MAD); the excess must be ``least`` times the noise.  status: centred, or why not:
     ``no_bins`` in reach or under ``least_shell`` in the shell, ``weak``, ``unsettled``.  A node whose box leaves the grid is not searched.
+    ``window`` is the σ of the centring window in bins.
     volumes may carry ``ub_now``, the orientation that predicts.  One join for all boxes; a task holds one node's box.
     """
     v = volumes.select("volume_id", *[c for c in (*_VOLUME, "ub_now") if c in volumes.columns])
-    p = predicted_nodes(v, cell).filter(F.col("q") >= q_min)
+    p = predicted_nodes(v, cell, window).filter(F.col("q") >= q_min)
     p = p if q_max is None else p.filter(F.col("q") <= q_max)
     p = p.withColumn("outer", F.greatest(F.lit(2 * reach), reach + 3 * F.col("width")))
     for r, a in enumerate("hkl"):

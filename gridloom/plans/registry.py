@@ -24,6 +24,8 @@ STEP = 0.25
 REUSED = frozenset(
     "flagship_flatten agg_robust_shell_stats agg_shell_floors_by_rank dom_local_fill dom_laplace_fill dom_round_trip dom_features"
     " dom_map_sigma dom_colour_range dom_feature_groups dom_pair_values dom_components set_enclosed dom_pooled_rings dom_share_ring_removal"
+    " dom_peak_shapes dom_stacked_profile dom_shape_punch dom_measured_centres dom_refined_orientation dom_global_shells dom_global_shells_removed"
+    " dom_window_ellipsoid dom_tail_sweep dom_bunching dom_grain_check dom_line_widths"
     " dom_ring_profiles dom_hole_sizes dom_largest_holes dom_isotropy win_snip".split()
 )
 
@@ -54,13 +56,13 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue, catalogue_clean, catalogue_more, catalogue_tables, catalogue_whole  # noqa: F401  (they register on import)
+    from . import catalogue, catalogue_clean, catalogue_more, catalogue_peaks, catalogue_tables, catalogue_whole  # noqa: F401  (they register on import)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue, catalogue_clean, catalogue_more, catalogue_tables, catalogue_whole  # noqa: F401
+    from . import catalogue, catalogue_clean, catalogue_more, catalogue_peaks, catalogue_tables, catalogue_whole  # noqa: F401
 
     return dict(ORACLES)
 
