@@ -155,12 +155,10 @@ class Vocabulary:
 def walk(words: list[str], v: Vocabulary) -> list[tuple[bytes, bytes]]:
     """(ids as 32-bit bytes, what they spell) of each of the sorted, distinct words, by one depth-first pass over their trie."""
     out: list[tuple[bytes, bytes]] = []
-    # forward table by prefix length: state, score, last piece (None for a lone character), all ids and their spelling so far
+    # forward table by prefix length: state, score, last piece (None for a lone character); ids are written once, at a word's end
     state: list[int] = [0]
     score: list[float] = [0.0]
     back: list[tuple | None] = [None]
-    ids: list[bytes] = [b""]
-    spell: list[bytes] = [b""]
     before = ""
     known, ends, unigram = v.steps, v.ends, v.kind == "unigram"
     for w in words:
@@ -170,7 +168,7 @@ def walk(words: list[str], v: Vocabulary) -> list[tuple[bytes, bytes]]:
                 break
             n += 1
         end = n + 1
-        del state[end:], back[end:], ids[end:], spell[end:], score[end:]
+        del state[end:], back[end:], score[end:]
         s = state[n]
         for c in w[n:] if n else w:
             to = known[s].get(c)
@@ -192,20 +190,23 @@ def walk(words: list[str], v: Vocabulary) -> list[tuple[bytes, bytes]]:
                             continue
                     how = p
                     break
-            # where no piece ends, the character stands alone, as bytes
-            if how:
-                at = end - how[1]
-                ids.append(ids[at] + how[3])
-                spell.append(spell[at] + how[4])
-            else:
-                raw = v.raw(c)
-                ids.append(ids[end - 1] + raw)
-                spell.append(spell[end - 1] + b"".join(map(v.spelled, array("i", raw))))
             state.append(s)
             back.append(how)
             end += 1
         before = w
-        out.append((ids[-1], spell[-1]))
+        ids, spell, at = [], [], len(w)
+        while at:
+            how = back[at]
+            if how:
+                ids.append(how[3])
+                spell.append(how[4])
+                at -= how[1]
+            else:  # where no piece ends, the character stands alone, as bytes
+                at -= 1
+                raw = v.raw(w[at])
+                ids.append(raw)
+                spell.append(b"".join(map(v.spelled, array("i", raw))))
+        out.append((b"".join(ids[::-1]), b"".join(spell[::-1])))
     return out
 
 

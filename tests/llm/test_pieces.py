@@ -85,3 +85,24 @@ def test_very_long_words():
     v, sp = pieces.Vocabulary.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
     texts = ["ab" * 4000, "x" * 3000 + "é" * 50, "a" * 2999]
     assert pieces.encode_texts(texts, pieces.Memory(v))[0].to_pylist() == [sp.encode(t) for t in texts]
+
+
+def test_long_text_without_spaces_takes_memory_in_proportion(spark):
+    """A million characters without a space: a few hundred MB at most, and the library's ids on a part of it."""
+    import random
+    import tracemalloc
+
+    v = pieces.Vocabulary.load(pieces.default_model())
+    r = random.Random(1)
+    word = "▁" + "".join(chr(r.randrange(0x4E00, 0x9000)) if r.random() < 0.5 else r.choice("abcdefgh") for _ in range(1_000_000))
+    pieces.walk([word[:1000]], v)
+    tracemalloc.start()
+    (ids, spelled), = pieces.walk([word], v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spelled == word.encode() and peak < 500e6
+    import sentencepiece
+
+    part = word[1:4001]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    assert list(pieces.array("i", pieces.walk(["▁" + part], v)[0][0])) == sp.encode(part)
