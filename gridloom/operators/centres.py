@@ -33,6 +33,8 @@ def predicted_nodes(volumes: DataFrame, cell: Sequence[int] = (1, 1, 1), window:
         for b in batches:
             for r in b.itertuples(index=False):
                 ub, ahead = np.array(r.ub, float).reshape(3, 3), np.array(r.now, float).reshape(3, 3)
+                if not np.isfinite(ahead).all() or np.linalg.cond(ahead) > 1e8:
+                    ahead = ub  # a fit to nodes of one plane predicts nothing
                 start, step, n = np.array([r.h0, r.k0, r.l0]), np.array([r.dh, r.dk, r.dl]), np.array([r.nh, r.nk, r.nl])
                 corners = np.array([start + (n - 1) * step * c for c in np.ndindex(2, 2, 2)]) @ ub.T @ np.linalg.inv(ahead).T
                 lo, hi = np.ceil(corners.min(0) / cell - 1e-9).astype(int), np.floor(corners.max(0) / cell + 1e-9).astype(int)
