@@ -388,15 +388,23 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one of each group of near-duplicates: the one with the least doc_id."""
-    c = materialise(classes(docs))
-    gone = small(materialise(c.filter("class_id <> doc_id").select("doc_id").distinct()), BROADCAST_IDS)
-    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
-    # repeated rows of one doc_id: usually none, so only those are brought together
-    twice = materialise(c.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if twice.limit(1).count() == 0:
-        return left
-    twice = small(twice, BROADCAST_IDS)
-    one = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rest = left.join(twice, "doc_id", "left_anti")
-    return rest.select(*[F.col(f"`{x}`") for x in docs.columns]).unionByName(one.select(*[F.col(f"`{x}`") for x in docs.columns]))
+    """The rows of docs, one of each group of near-duplicates: the one with the least doc_id; rows without doc_id all stay.
+
+    Rows that share a doc_id and have different texts are different documents: each counts under a hash of its id and text
+    (also when the least id is sought), so one goes only if its own text is linked.  Repeated rows leave one.
+    """
+    hashed, whole = F.xxhash64(text_of()), [F.col(f"`{x}`") for x in docs.columns]
+    d = docs.withColumn("_own_id", F.col("doc_id").cast("long"))
+    often = d.filter("_own_id is not null").groupBy("_own_id").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("lo"), F.max(hashed).alias("hi"))
+    often = materialise(often.filter("n > 1").select(F.col("_own_id").alias("_often"), (F.col("lo") != F.col("hi")).alias("_shared")))
+    repeats = not often.isEmpty()
+    if repeats:  # usually there are none
+        d = d.join(small(often, BROADCAST_IDS), F.col("_own_id") == F.col("_often"), "left")
+        d = d.withColumn("_own_id", F.when(F.coalesce("_shared", F.lit(False)), F.xxhash64("_own_id", hashed)).otherwise(F.col("_own_id")))
+    c = classes(d.select(F.col("_own_id").alias("doc_id"), "text"))
+    gone = small(materialise(c.filter("class_id <> doc_id").select(F.col("doc_id").alias("_own_id")).distinct()), BROADCAST_IDS)
+    left = d.join(gone, "_own_id", "left_anti")
+    if not repeats:
+        return left.select(*whole)
+    one = left.filter("_often is not null").dropDuplicates(["_own_id"])
+    return left.filter("_often is null").select(*whole).unionByName(one.select(*whole))

@@ -113,3 +113,14 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, x) for x in range(101, 140)] + [(50, 50)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(21)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_keep_loses_no_document_that_shares_an_id(spark):
+    base = prose(1, 100)
+    rows = [(1, base), (1, prose(2, 100)), (2, prose(3, 100)), (3, edited(base, 2, 5)), (3, prose(4, 100)), (4, prose(3, 100)), (5, prose(6, 80)), (5, prose(6, 80)), (6, None), (6, "")]
+    kept = sorted((r.doc_id, r.text or "") for r in minhash.keep(frame(spark, rows, extra=True)).collect())
+    texts = [t for _, t in kept]
+    for t in (prose(2, 100), prose(4, 100), prose(3, 100), prose(6, 80)):  # linked to nothing, or first of their copies
+        assert texts.count(t) == 1
+    assert (2, prose(3, 100)) in kept and sum(t in (base, edited(base, 2, 5)) for t in texts) == 1
+    assert [r for r in kept if r[0] == 6] in ([(6, "")], [(6, ""), (6, "")])
