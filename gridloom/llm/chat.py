@@ -16,20 +16,27 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
-_NO_ID = -(2**63)
+#: Stands for a missing conv_id: below every long, so that no conversation has it.
+_NO_ID = Decimal(-(2**63) - 1)
+
+
+def _id():
+    return F.coalesce(F.col("conv_id").cast("long").cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)")).alias("c")
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
     """(c, n, x, y): for each conversation and number of turns, the rolling hashes of that prefix."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_ID)).alias("c"), F.col("turn"), role.alias("role"),
+        _id(), F.col("turn"), role.alias("role"),
         F.xxhash64(role, text).alias("h"), F.xxhash64(F.lit(7), text, role).alias("g"),
     ).distinct()
     order = Window.partitionBy("c").orderBy("turn", "role", "h", "g")
@@ -55,7 +62,7 @@ def render(conversations: DataFrame) -> DataFrame:
     top = materialise(maximal(conversations))
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     turns = conversations.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(_NO_ID)).alias("c"),
+        _id(),
         F.struct(F.col("turn"), role.alias("role"), F.xxhash64(role, text).alias("h"), F.xxhash64(F.lit(7), text, role).alias("g"), text.alias("text")).alias("t"),
     ).join(top, "c")
     one = turns.groupBy("c").agg(
@@ -63,7 +70,7 @@ def render(conversations: DataFrame) -> DataFrame:
     )
     line = lambda t: F.concat(F.lit(BEGIN), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))
     return one.select(
-        F.nullif("c", F.lit(_NO_ID)).alias("conv_id"), "n_turns", "n_copies", F.array_join(F.transform("t", line), "").alias("rendered")
+        F.nullif("c", F.lit(_NO_ID)).cast("long").alias("conv_id"), "n_turns", "n_copies", F.array_join(F.transform("t", line), "").alias("rendered")
     )
 
 

@@ -34,3 +34,8 @@ def test_snapshots_collapse(spark):
 def test_real_table(spark, sf):
     df = spark.read.parquet(f"{sf}/conversations.parquet")
     assert got(df) == brute([tuple(r) for r in df.collect()])
+
+
+def test_least_long_is_an_id_like_any_other(spark):
+    rows = [(-(2**63), 0, "user", "a"), (-(2**63), 1, "user", "b"), (None, 0, "user", "c"), (2**63 - 1, 0, "user", "d"), (None, 1, "user", "e")]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
