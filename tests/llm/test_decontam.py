@@ -94,3 +94,11 @@ def test_repeated_runs_short_items_and_every_change(spark, monkeypatch):
     for most in (decontam.BROADCAST_SEEDS, 0):  # with the broadcast and without
         monkeypatch.setattr(decontam, "BROADCAST_SEEDS", most)
         assert {(r.doc_id, r.item_id) for r in decontam.report(frame(spark, docs), bench).collect()} == want
+
+
+def test_least_length_of_items_that_remove(spark):
+    docs = frame(spark, [(1, prose(1, 60) + " zebra quagga okapi " + prose(2, 60)), (2, prose(3, 80))])
+    items = spark.createDataFrame([(7, "Zebra quagga okapi")], "item_id long, text string")
+    assert [r.doc_id for r in decontam.report(docs, items).collect()] == [1]
+    assert sorted(r.doc_id for r in decontam.keep(docs, items).collect()) == [1, 2]
+    assert [r.doc_id for r in decontam.keep(docs, items, shortest=1).collect()] == [2]
