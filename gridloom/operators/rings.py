@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +45,71 @@ def powder_lines(reflections: DataFrame, atoms: DataFrame, volume: float, key: s
     """Intensity of each reflection: |F|² / (V²·Q²) from atoms (x, y, z, weight) of the cell; absences are left out.
 
     Without ``key`` the atom table is one cell's (bounded, checked); with it, reflections and atoms meet within their
-    structure.  Each reflection sums over its atoms in a combined group-by.
+    structure, sorted on both sides: neither is broadcast.  Reflections without the ``key`` column are those of every
+    structure (:func:`_common_lines`).  Each reflection sums over its atoms in a combined group-by.
     """
+    if key and key not in reflections.columns:
+        return _common_lines(reflections, atoms, volume, key)
     own = [key] if key else []
     phase = 2 * math.pi * (F.col("h") * F.col("x") + F.col("k") * F.col("y") + F.col("l") * F.col("z"))
-    j = (reflections.join(atoms, key) if key else reflections.join(bounded(atoms))).withColumn("_p", phase)
+    j = (reflections.join(atoms.hint("merge"), key) if key else reflections.join(bounded(atoms))).withColumn("_p", phase)
     g = j.groupBy(*own, "h", "k", "l", "q").agg(F.sum(F.col("weight") * F.cos("_p")).alias("re"), F.sum(F.col("weight") * F.sin("_p")).alias("im"), F.sum(F.abs("weight")).alias("all"))
     f2 = F.col("re") ** 2 + F.col("im") ** 2
     g = g.withColumn("f2", f2).filter(F.col("f2") > 1e-8 * F.col("all") ** 2)
     return g.select(*own, "h", "k", "l", "q", "f2", (F.col("f2") / (volume**2 * F.col("q") ** 2)).alias("intensity"))
 
 
+#: Reflections up to which one list serves all structures.
+MOST_REFLECTIONS = 20_000
+
+
+def _common_lines(reflections: DataFrame, atoms: DataFrame, volume: float, key: str) -> DataFrame:
+    """:func:`powder_lines` of one bounded list of reflections over many structures.
+
+    The atoms come sorted by structure, one shuffle, and their terms are added up as they pass; the sums of a structure
+    that goes on in the next batch are carried over, so memory depends neither on the structures nor on their atoms.
+    """
+    rows = reflections.select("h", "k", "l", "q").limit(MOST_REFLECTIONS + 1).collect()
+    if len(rows) > MOST_REFLECTIONS:
+        raise ValueError(f"a common list of reflections has over {MOST_REFLECTIONS} rows")
+    hkl, q = np.array([r[:3] for r in rows], dtype=float).reshape(-1, 3).T, np.array([r[3] for r in rows], dtype=float)
+    most = max(1, 2_000_000 // max(1, len(rows)))
+
+    def finished(names: np.ndarray, re: np.ndarray, im: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        f2 = re**2 + im**2
+        s, i = np.nonzero(f2 > 1e-8 * (total**2)[:, None])
+        out = {key: names[s], **{a: hkl[j, i] for j, a in enumerate("hkl")}, "q": q[i], "f2": f2[s, i], "intensity": f2[s, i] / (volume**2 * q[i] ** 2)}
+        return pd.DataFrame(out).astype({a: np.int64 for a in "hkl"})
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, sums = None, ()
+        for batch in batches:
+            for at in range(0, len(batch), most):
+                g = batch.iloc[at : at + most]
+                own, w = g[key].to_numpy(), g["_w"].to_numpy()[:, None]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                phase = 2 * np.pi * (g[["x", "y", "z"]].to_numpy() @ hkl)
+                new = [np.add.reduceat(t, first) for t in (w * np.cos(phase), w * np.sin(phase), g["_all"].to_numpy())]
+                if names is not None and names[0] == own[0]:
+                    for n, s in zip(new, sums, strict=True):
+                        n[0] += s[0]
+                elif names is not None:
+                    yield finished(names, *sums)
+                names = own[first]
+                if len(names) > 1:
+                    yield finished(names[:-1], *[n[:-1] for n in new])
+                names, sums = names[-1:], [n[-1:] for n in new]
+        if names is not None:
+            yield finished(names, *sums)
+
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & F.col("weight").isNotNull()
+    one = lambda c: F.when(known, F.col(c)).otherwise(0.0).cast("double")
+    a = atoms.filter(F.col(key).isNotNull()).select(key, *[one(c).alias(c) for c in "xyz"], one("weight").alias("_w"), F.coalesce(F.abs("weight"), F.lit(0.0)).cast("double").alias("_all"))
+    kind = atoms.schema[key].dataType.simpleString()
+    lines = a.repartition(key).sortWithinPartitions(key).mapInPandas(summed, f"`{key}` {kind}, h bigint, k bigint, l bigint, q double, f2 double, intensity double")
+    return lines.select(key, *[F.col(c).cast(reflections.schema[c].dataType).alias(c) for c in "hkl"], "q", "f2", "intensity")
+
+
 def matched(rings: DataFrame, lines: DataFrame, tolerance: float) -> DataFrame:
     """Each ring (volume_id, q) with its nearest line within a tolerance, or null."""
     l = bounded(lines.select(F.col("q").alias("line_q"), F.col("n").alias("line")))
