@@ -84,29 +84,47 @@ def metric_of(ub: Column) -> list[Column]:
     return [ub[r] * ub[c] + ub[3 + r] * ub[3 + c] + ub[6 + r] * ub[6 + c] for r in range(3) for c in range(3)]
 
 
-def _carried(op: Column, g: Column, r: int, c: int) -> Column:
-    """Element (r, c) of RᵀGR."""
-    return sum((op[3 * i + r] * g[3 * i + j] * op[3 * j + c] for i in range(3) for j in range(3)), F.lit(0.0))
-
-
 def laue_candidates(volumes: DataFrame, limit: float = METRIC_LIMIT) -> DataFrame:
     """Each Laue class on each volume: order, metric change, whether it is allowed, and why not.
 
-    volumes: (volume_id, ub, h0, k0, l0, dh, dk, dl).  A class is refused by ``metric`` if an operation changes
-    UBᵀ·UB by more than ``limit`` of its largest element, and by ``grid`` if one maps a bin off the grid's points
+    volumes: one row each (volume_id, ub, h0, k0, l0, dh, dk, dl).  A class is refused by ``metric`` if an operation
+    changes UBᵀ·UB by more than ``limit`` of its largest element, and by ``grid`` if one maps a bin off the grid's points
     (steps that it mixes differ, or the start is off).  A volume without UB is not held against its metric; one with
-    a null axis is refused by its grid.  The operations (under 200) ride on each volume's row; one combined group-by.
+    a null axis is refused by its grid.  The operations share few distinct elements of RᵀGR − G and offsets in bins: each
+    is computed once for a batch of volumes, a class takes the largest of its own, and nothing is shuffled.
     """
-    table = F.array(*[F.struct(F.lit(n).alias("laue"), F.array(*[F.lit(float(x)) for x in m]).alias("m")) for n in LAUE_CLASSES for m in laue_operations(n)])
-    v = volumes.withColumn("_g", F.when(F.col("ub").isNotNull(), F.array(*metric_of(F.col("ub"))))).withColumn("_o", F.explode(table))
-    m, g, eye = F.col("_o.m"), F.col("_g"), lambda r, c: float(r == c)
-    change = F.greatest(*[F.abs(_carried(m, g, r, c) - g[3 * r + c]) for r in range(3) for c in range(3)]) / F.greatest(*[F.abs(g[i]) for i in range(9)])
-    step, start = [F.col(f"d{a}") for a in "hkl"], [F.col(f"{a}0") for a in "hkl"]
-    off = [m[3 * r + c] * step[c] / step[r] for r in range(3) for c in range(3)]
-    off += [sum(((m[3 * r + c] - eye(r, c)) * start[c] for c in range(3)), F.lit(0.0)) / step[r] for r in range(3)]
-    away = F.greatest(*[F.coalesce(F.abs(x - F.rint(x)), F.lit(1.0)) for x in off])
-    out = v.groupBy("volume_id", F.col("_o.laue").alias("laue")).agg(F.count("*").cast("int").alias("operations"), F.max(change).alias("change"), F.max(away).alias("_off"))
-    why = F.when(F.col("change") > limit, F.lit("metric")).when(F.col("_off") > 1e-3, F.lit("grid"))
+    classes = {n: laue_operations(n) for n in LAUE_CLASSES}
+    metric: dict[tuple, int] = {}
+    grid: dict[tuple, int] = {}
+    own: list[tuple[list[int], list[int]]] = []
+    for ops in classes.values():
+        turned = [(r, c, tuple((m[3 * i + r] * m[3 * j + c], 3 * i + j) for i in range(3) for j in range(3) if m[3 * i + r] * m[3 * j + c])) for m in ops for r in range(3) for c in range(r, 3)]
+        moved = [(r, c, abs(m[3 * r + c])) for m in ops for r in range(3) for c in range(3)] + [(r, tuple(m[3 * r + c] - int(r == c) for c in range(3))) for m in ops for r in range(3)]
+        own.append((sorted({metric.setdefault(k, len(metric)) for k in turned}), sorted({grid.setdefault(k, len(grid)) for k in moved})))
+    n, names = len(classes), list(classes)
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for v in batches:
+            g = [v[f"g{i}"].to_numpy(float) for i in range(9)]
+            start, step = [v[f"{a}0"].to_numpy(float) for a in "hkl"], [v[f"d{a}"].to_numpy(float) for a in "hkl"]
+            with np.errstate(all="ignore"):
+                change = [np.abs(sum(s * g[i] for s, i in terms) - g[3 * r + c]) for r, c, terms in metric]
+                off = [k[2] * step[k[1]] / step[k[0]] if len(k) == 3 else sum(k[1][c] * start[c] for c in range(3)) / step[k[0]] for k in grid]
+                off = [np.abs(x - np.rint(x)) for x in off]
+                most = np.fmax.reduce([np.abs(x) for x in g])
+                out = {f"c{i}": np.fmax.reduce([change[j] for j in own[i][0]]) / most for i in range(n)}
+            out |= {f"o{i}": np.maximum.reduce([off[j] for j in own[i][1]]) for i in range(n)}  # NaN of a null axis stays
+            yield pd.DataFrame({"volume_id": v["volume_id"], "bad": v["bad"], **out})
+
+    g = metric_of(F.col("ub"))
+    bad = F.lit(False)
+    for x in g:
+        bad = bad | F.coalesce(F.isnan(x), F.lit(False))
+    v = volumes.select("volume_id", bad.alias("bad"), *[x.cast("double").alias(f"g{i}") for i, x in enumerate(g)], *[F.col(c).cast("double").alias(c) for c in ("h0", "k0", "l0", "dh", "dk", "dl")])
+    j = v.mapInPandas(judged, "volume_id string, bad boolean, " + ", ".join(f"{x}{i} double" for x in "co" for i in range(n)))
+    rows = [F.struct(F.lit(name).alias("laue"), F.lit(len(classes[name])).alias("operations"), F.col(f"c{i}").alias("change"), F.col(f"o{i}").alias("off")) for i, name in enumerate(names)]
+    out = j.select("volume_id", "bad", F.explode(F.array(*rows)).alias("_o")).select("volume_id", "_o.laue", "_o.operations", F.when(F.col("bad"), F.lit(float("nan"))).otherwise(F.col("_o.change")).alias("change"), "_o.off")
+    why = F.when(F.col("change") > limit, F.lit("metric")).when(F.coalesce("off", F.lit(1.0)) > 1e-3, F.lit("grid"))
     return out.select("volume_id", "laue", "operations", "change", why.isNull().alias("allowed"), why.alias("reason"))
 
 

@@ -3,6 +3,10 @@
 import numpy as np
 import pytest
 
+from gridloom.operators import cells as ce
+from gridloom.operators import cleaning as cl
+from gridloom.operators import lattice as lat
+from gridloom.operators import resample as rs
 from gridloom.operators import rings as rg
 from gridloom.plans import registry
 
@@ -43,3 +47,42 @@ def test_powder_lines_with_null_coordinates(spark):
 
 def test_powder_lines_are_not_broadcast(spark):
     assert "Broadcast" not in plan(registry.queries()["dom_powder_lines"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["dom_laue_candidates", "sca_metric_change", "dom_cell_permutation", "dom_modulation_positions"])
+def test_rows_are_judged_in_place(spark, name):
+    assert "Exchange" not in plan(registry.queries()[name](spark, SF)) and "Aggregate" not in plan(registry.queries()[name](spark, SF))
+
+
+def test_laue_candidates_as_matrices(spark):
+    rng = np.random.default_rng(11)
+    ubs = [np.diag([1.4, 1.4, 1.2]), np.diag([1.0, 1.0, 1.0]), rng.normal(size=(3, 3)), np.array([[1.0, 0.5, 0.0], [0.0, 0.75**0.5, 0.0], [0.0, 0.0, 0.9]])]
+    grids = [(-2.0, -2.0, -1.0, 0.2, 0.2, 0.2), (-1.9, -2.0, -1.0, 0.2, 0.25, 0.2), (-2.0, -2.0, -2.0, 0.2, 0.2, 0.2), (-2.0, -2.0, -1.0, 0.2, 0.4, 0.1)]
+    rows = [(f"{i}{j}", u.ravel().tolist(), *g) for i, u in enumerate(ubs) for j, g in enumerate(grids)]
+    v = spark.createDataFrame(rows, "volume_id string, ub array<double>, h0 double, k0 double, l0 double, dh double, dk double, dl double")
+    got = {(r.volume_id, r.laue): r for r in ce.laue_candidates(v).collect()}
+    assert len(got) == 16 * 13
+    for name, u, *g in rows:
+        metric, start, step = np.array(u).reshape(3, 3).T @ np.array(u).reshape(3, 3), np.array(g[:3]), np.array(g[3:])
+        for laue in ce.LAUE_CLASSES:
+            ops = [np.array(m, float).reshape(3, 3) for m in ce.laue_operations(laue)]
+            change = max(np.abs(m.T @ metric @ m - metric).max() for m in ops) / np.abs(metric).max()
+            off = [x for m in ops for x in (m * step[None, :] / step[:, None]).ravel()] + [x for m in ops for x in (m - np.eye(3)) @ start / step]
+            off = max(abs(x - round(x)) for x in off)
+            r = got[name, laue]
+            assert r.operations == len(ops) and abs(r.change - change) < 1e-9
+            assert r.reason == ("metric" if change > 0.02 else "grid" if off > 1e-3 else None) and r.allowed == (r.reason is None)
+
+
+def test_positions_of_several_vectors(spark):
+    w = spark.createDataFrame([("a", 2500, 0, 0), ("a", 5000, 0, 0), ("b", 0, 0, 0)], "volume_id string, h int, k int, l int")
+    got = sorted(map(tuple, cl.positions_of(w, lat.MMM, 2).collect()))
+    assert got == [("a", 0, 0, 0, 2), ("a", 2500, 0, 0, 1), ("a", 5000, 0, 0, 1), ("a", 7500, 0, 0, 1), ("b", 0, 0, 0, 1)]
+    one = sorted(map(tuple, cl.positions_of(w.filter("h <> 5000"), lat.MMM, 2, single=True).collect()))
+    assert one == [("a", 2500, 0, 0, 1), ("a", 5000, 0, 0, 2), ("a", 7500, 0, 0, 1), ("b", 0, 0, 0, 1)]
+
+
+def test_permutation_fit_on_ties_and_nulls(spark):
+    c = spark.createDataFrame([("tie", 4.0, 4.0, 6.0), ("none", None, None, None)], "volume_id string, a double, b double, c double")
+    got = {r.volume_id: (r.perm, r.misfit) for r in rs.permutation_fit(c, (4.0, 5.0, 6.0)).collect()}
+    assert got == {"tie": ("abc", 0.25), "none": ("abc", None)}
