@@ -74,6 +74,32 @@ def moments(peaks: DataFrame, bins: DataFrame, radius: int = 1) -> DataFrame:
     return g.select(*out)
 
 
+def node_centres(bins: DataFrame, step: float, half: float = 0.3, radius: int = 1) -> DataFrame:
+    """Centroid of each node's brightest bin over its least neighbour: (volume_id, nh, nk, nl, ih, ik, il, oh, ok, ol).
+
+    The same as :func:`lattice.nodes`, :func:`lattice.node_peaks` and :func:`moments` of the box of ``radius`` bins, on a
+    parent lattice of whole indices: oh, ok, ol are the centroid's offsets from the brightest bin, in bins.  A box that
+    starts within ``half`` of a node and stays nearer to it than to any other needs the bins of that node only, so one
+    shuffle by node serves every step; a group is a node's own bins.
+    """
+    if half + radius * step > 0.5 + 1e-9:
+        raise ValueError("the boxes reach beyond the nodes' own cells")
+    key = ["volume_id", "nh", "nk", "nl"]
+    b = bins.filter(measured()).select("volume_id", *[F.rint(a).cast("int").alias(f"n{a}") for a in "hkl"], *BINKEY[1:], "h", "k", "l", "intensity")
+    b = b.filter("not (nh = 0 and nk = 0 and nl = 0)")
+    inside = F.lit(True)
+    for a in "hkl":
+        inside = inside & (F.abs(F.col(a) - F.col(f"n{a}")) <= half)
+    own = Window.partitionBy(*key)
+    top = F.max(F.when(inside, F.struct("intensity", *[(-F.col(f"i{a}")).alias(a) for a in "hkl"]))).over(own)
+    b = b.withColumn("_t", top).select(*key, *[(-F.col(f"_t.{a}")).alias(f"i{a}") for a in "hkl"], *[(F.col(f"i{a}") + F.col(f"_t.{a}")).alias(f"d{a}") for a in "hkl"], "intensity")
+    for a in "hkl":
+        b = b.filter(F.abs(f"d{a}") <= radius)
+    b = b.withColumn("w", F.col("intensity") - F.min("intensity").over(own))
+    g = b.groupBy(*key).agg(*[F.first(f"i{a}").alias(f"i{a}") for a in "hkl"], F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.col(f"d{a}")).alias(f"_{a}") for a in "hkl"])
+    return g.filter("_w > 0").select(*key, *BINKEY[1:], *[(F.col(f"_{a}") / F.col("_w")).alias(f"o{a}") for a in "hkl"])
+
+
 def claimed(peaks: DataFrame, half: float = 0.3) -> DataFrame:
     """Search peaks claimed by their nearest node inside its window; the brightest of a node wins."""
     p = peaks

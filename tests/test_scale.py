@@ -6,9 +6,11 @@ import pytest
 from gridloom.operators import cells as ce
 from gridloom.operators import cleaning as cl
 from gridloom.operators import lattice as lat
+from gridloom.operators import peaks as pk
 from gridloom.operators import resample as rs
 from gridloom.operators import rings as rg
 from gridloom.plans import registry
+from gridloom.sources import bins as src
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +88,25 @@ def test_permutation_fit_on_ties_and_nulls(spark):
     c = spark.createDataFrame([("tie", 4.0, 4.0, 6.0), ("none", None, None, None)], "volume_id string, a double, b double, c double")
     got = {r.volume_id: (r.perm, r.misfit) for r in rs.permutation_fit(c, (4.0, 5.0, 6.0)).collect()}
     assert got == {"tie": ("abc", 0.25), "none": ("abc", None)}
+
+
+@pytest.mark.parametrize("name", ["dom_ring_models", "agg_undersampled", "flt_capsule", "win_pooled_profiles", "dom_search_peaks", "dom_shell_fill"])
+def test_lineitem_is_folded_once(spark, name):
+    assert "parquet" not in plan(registry.queries()[name](spark, SF))
+
+
+def test_node_centres_are_those_of_peaks_and_moments(spark):
+    b = src.scans(spark, SF)
+    p = pk.numbered(lat.node_peaks(lat.nodes(b)))
+    want = {tuple(r)[:7]: tuple(r)[7:] for r in p.join(pk.moments(p, b), ["volume_id", "peak_id"]).select("volume_id", "nh", "nk", "nl", "ih", "ik", "il", "ch", "ck", "cl").collect()}
+    c = pk.node_centres(b, 0.2)
+    got = {tuple(r)[:7]: tuple(r)[7:] for r in c.collect()}
+    assert len(want) > 100 and got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+    with pytest.raises(ValueError):
+        pk.node_centres(b, 0.2, radius=2)
+
+
+@pytest.mark.parametrize("name", ["dom_radial_offsets", "dom_ub_fit"])
+def test_centres_read_their_bins_once(spark, name):
+    p = plan(registry.queries()[name](spark, SF))
+    assert sum("FileScan" in x for x in p.splitlines()) == 1 and "Join" not in p
