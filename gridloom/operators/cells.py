@@ -7,11 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import inverse
-from .lattice import saved
 
 Matrix = tuple[int, ...]
 
@@ -175,30 +174,41 @@ def _across(d: Sequence[Column], q: Sequence[Column]) -> list[Column]:
     return [d[i] - t * q[i] for i in range(3)]
 
 
-def rotation_fit(offsets: DataFrame) -> DataFrame:
-    """The small rotation ω minimising Σ w·|d⊥ − ω × q|² per volume, with sums of squares before and after, R² and F.
-
-    offsets: (volume_id, qx, qy, qz, dx, dy, dz, w) at nodes with q ≠ 0; d⊥ is the part across q.  Twelve sums from
-    one combined group-by and a 3×3 solve in columns.  Null ω where the directions are all parallel.
-    """
-    q, w = [F.col(f"q{a}") for a in "xyz"], F.col("w")
-    d = _across([F.col(f"d{a}") for a in "xyz"], q)
+def _sums(q: Sequence[Column], d: Sequence[Column], w: Column) -> dict[str, Column]:
+    """What a rotation is solved from, to be summed over offsets d across q: normal matrix, right-hand side, square sum."""
     q2, cr = q[0] * q[0] + q[1] * q[1] + q[2] * q[2], _cross(q, d)
-    g = offsets.groupBy("volume_id").agg(
-        *[F.sum(w * ((q2 if i == j else F.lit(0.0)) - q[i] * q[j])).alias(f"_m{i}{j}") for i in range(3) for j in range(3)],
-        *[F.sum(w * cr[i]).alias(f"_b{i}") for i in range(3)], F.sum(w * (d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).alias("rss0"), F.count("*").alias("n"),
-    )
-    m = [F.col(f"_m{i}{j}") for i in range(3) for j in range(3)]
-    det = m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
-    trace = m[0] + m[4] + m[8]
-    sound = det > 1e-8 * trace * trace * trace
-    inv, b = inverse(m), [F.col(f"_b{i}") for i in range(3)]
-    g = g.select("*", *[F.when(sound, inv[3 * i] * b[0] + inv[3 * i + 1] * b[1] + inv[3 * i + 2] * b[2]).alias(f"w{a}") for i, a in enumerate("xyz")])
+    out = {f"_m{i}{j}": w * ((q2 if i == j else F.lit(0.0)) - q[i] * q[j]) for i in range(3) for j in range(i, 3)}
+    return out | {f"_b{i}": w * cr[i] for i in range(3)} | {"rss0": w * (d[0] * d[0] + d[1] * d[1] + d[2] * d[2])}
+
+
+def _solved(g: DataFrame) -> DataFrame:
+    """g, which has n and the columns of :func:`_sums` summed, with the rotation, square sums, R² and F."""
+    m, b = [[F.col(f"_m{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)], [F.col(f"_b{i}") for i in range(3)]
+    minor = {(i, j): m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3] for i in range(3) for j in range(i, 3)}
+    g = g.select("*", *[x.alias(f"_c{i}{j}") for (i, j), x in minor.items()])  # step by step: one expression of all would be too long to compile
+    c = lambda i, j: F.col(f"_c{min(i, j)}{max(i, j)}")
+    g = g.withColumn("_det", m[0][0] * c(0, 0) + m[0][1] * c(0, 1) + m[0][2] * c(0, 2)).withColumn("_tr", m[0][0] + m[1][1] + m[2][2])
+    sound = F.col("_det") > 1e-8 * F.col("_tr") * F.col("_tr") * F.col("_tr")
+    g = g.select("*", *[F.when(sound, (c(i, 0) * b[0] + c(i, 1) * b[1] + c(i, 2) * b[2]) / F.col("_det")).alias(f"w{a}") for i, a in enumerate("xyz")])
     g = g.withColumn("rss1", F.greatest(F.lit(0.0), F.col("rss0") - F.col("wx") * b[0] - F.col("wy") * b[1] - F.col("wz") * b[2])).withColumn("dof", 2 * F.col("n") - 3)
     r2 = F.when(F.col("rss0") > 0, 1 - F.col("rss1") / F.col("rss0")).otherwise(0.0)
     f = F.when((F.col("dof") > 0) & (F.col("rss1") > 0), (F.col("rss0") - F.col("rss1")) / 3 / (F.col("rss1") / F.col("dof")))
     f = f.otherwise(F.when(F.col("rss0") > F.col("rss1"), F.lit(math.inf)).otherwise(0.0))
-    return g.select("volume_id", "n", "wx", "wy", "wz", "rss0", "rss1", "dof", r2.alias("r2"), F.when(F.col("wx").isNotNull(), f).alias("f_stat"))
+    return g.select("*", r2.alias("r2"), F.when(F.col("wx").isNotNull(), f).alias("f_stat"))
+
+
+_FIT = ("n", "wx", "wy", "wz", "rss0", "rss1", "dof", "r2", "f_stat")
+
+
+def rotation_fit(offsets: DataFrame) -> DataFrame:
+    """The small rotation ω minimising Σ w·|d⊥ − ω × q|² per volume, with sums of squares before and after, R² and F.
+
+    offsets: (volume_id, qx, qy, qz, dx, dy, dz, w) at nodes with q ≠ 0; d⊥ is the part across q.  Ten sums from
+    one combined group-by and a 3×3 solve in columns.  Null ω where the directions are all parallel.
+    """
+    q = [F.col(f"q{a}") for a in "xyz"]
+    sums = _sums(q, _across([F.col(f"d{a}") for a in "xyz"], q), F.col("w"))
+    return _solved(offsets.groupBy("volume_id").agg(*[F.sum(x).alias(c) for c, x in sums.items()], F.count("*").alias("n"))).select("volume_id", *_FIT)
 
 
 def rotation_diagnosis(
@@ -208,30 +218,30 @@ def rotation_diagnosis(
 
     An offset whose residual passes both ``reject`` times its volume's median and ``keep_within`` is left out and the
     fit repeated, at most ``rounds`` times; a volume left with fewer than ``least`` keeps what it had.  A rotation is
-    resolved if it moves a node by half a ``voxel`` (Å⁻¹) or more.  Each round is written once.
+    resolved if it moves a node by half a ``voxel`` (Å⁻¹) or more.  All rounds are windows over a volume's offsets, so
+    they share one shuffle and one sort; a round that changes nothing is repeated without effect.
     """
-    o = saved(offsets.withColumn("used", F.lit(True)))
+    own, used = Window.partitionBy("volume_id"), F.col("used")
     q, d = [F.col(f"q{a}") for a in "xyz"], [F.col(f"d{a}") for a in "xyz"]
-    for _ in range(rounds):
-        fit = rotation_fit(o.filter("used")).select("volume_id", "wx", "wy", "wz")
-        turn = _cross([F.col(f"w{a}") for a in "xyz"], q)
-        res = [x - t for x, t in zip(_across(d, q), turn, strict=True)]
-        r = o.join(fit, "volume_id").withColumn("_r", F.sqrt(res[0] * res[0] + res[1] * res[1] + res[2] * res[2]))
-        mid = r.filter("used").groupBy("volume_id").agg(F.expr("percentile(_r, 0.5)").alias("_m"))
-        r = r.join(mid, "volume_id").withColumn("_k", F.col("_r") <= F.greatest(reject * F.col("_m"), F.lit(keep_within)))
-        enough = r.groupBy("volume_id").agg((F.count_if("_k") >= least).alias("_e"))
-        new = saved(r.join(enough, "volume_id").select(*offsets.columns, F.when(F.col("_e") & F.col("_k").isNotNull(), F.col("_k")).otherwise(F.col("used")).alias("used"), F.col("used").alias("_was")))
-        changed = new.filter("used <> _was").limit(1).count()
-        o = new.drop("_was")
-        if not changed:
-            break
-    fit = rotation_fit(o.filter("used"))
     turn = _cross([F.col(f"w{a}") for a in "xyz"], q)
-    shift = o.join(fit.select("volume_id", "wx", "wy", "wz"), "volume_id").groupBy("volume_id").agg(
-        F.max(F.sqrt(turn[0] * turn[0] + turn[1] * turn[1] + turn[2] * turn[2])).alias("max_shift"), F.count_if(~F.col("used")).alias("rejected")
-    )
+    size = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    across = [x.alias(f"d{a}") for x, a in zip(_across(d, q), "xyz", strict=True)]
+    o = offsets.filter("volume_id is not null").select("volume_id", *q, *across, F.col("w").alias("weight"), F.lit(True).alias("used"))
+    sums = [F.sum(F.when(used, x)).over(own).alias(c) for c, x in _sums(q, d, F.col("weight")).items()]
+
+    def fitted(o: DataFrame) -> DataFrame:
+        return _solved(o.select("*", *sums, F.count_if(used).over(own).alias("n")))
+
+    for _ in range(rounds):
+        r = fitted(o).select(*o.columns, size([x - t for x, t in zip(d, turn, strict=True)]).alias("_r"))
+        r = r.withColumn("_m", F.percentile(F.when(used, F.col("_r")), F.lit(0.5)).over(own))
+        r = r.withColumn("_k", F.col("_r") <= F.greatest(reject * F.col("_m"), F.lit(keep_within)))
+        enough = F.count_if("_k").over(own) >= least
+        o = r.select(*o.columns[:-1], F.when(enough & F.col("_k").isNotNull(), F.col("_k")).otherwise(used).alias("used"))
+    fit = fitted(o).groupBy("volume_id").agg(*[F.first(c).alias(c) for c in _FIT], F.max(size(turn)).alias("max_shift"), F.count_if(~used).alias("rejected"))
     tail = F.pandas_udf(_p_value, "double")
-    f = fit.withColumn("p", F.when(F.col("f_stat").isNotNull(), tail(F.coalesce("f_stat", F.lit(0.0)), "dof"))).join(shift, "volume_id")
+    p = F.when(F.col("f_stat").isNotNull(), tail(F.coalesce("f_stat", F.lit(0.0)), "dof"))
+    f = fit.select("volume_id", *_FIT, p.alias("p"), "max_shift", "rejected")
     status = F.when(F.col("p").isNull() | (F.col("p") >= p_limit), "not_significant").when(F.col("r2") < r2_limit, "not_explained")
     return f.withColumn("status", status.when(F.col("max_shift") < 0.5 * voxel, "unresolved").otherwise("active"))
 

@@ -30,19 +30,22 @@ qbins AS (
 """
 
 
-def from_lineitem(spark: SparkSession, sf_dir: str, run: int | None = None) -> DataFrame:
-    """One row per bin of three volumes (or three per run of orders) on a 21×21×11 grid, by one combined group-by."""
+def from_lineitem(spark: SparkSession, sf_dir: str, run: int | None = None, together: bool = False) -> DataFrame:
+    """One row per bin of three volumes (or three per run of orders) on a 21×21×11 grid, by one combined group-by.
+
+    ``together`` first deals the lines out by volume, so that nothing grouped by volume or by its nodes is shuffled again: for many small volumes.
+    """
     name = F.col("l_returnflag") if run is None else F.concat_ws("-", "l_returnflag", F.expr(f"l_orderkey div {run}").cast("string"))
-    cell = (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .groupBy(
-            name.alias("volume_id"),
-            (F.col("l_orderkey") % 21).cast("int").alias("ih"),
-            (F.col("l_partkey") % 21).cast("int").alias("ik"),
-            (F.col("l_suppkey") % 11).cast("int").alias("il"),
-        )
-        .agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("intensity"), F.count("*").cast("double").alias("n"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        name.alias("volume_id"),
+        (F.col("l_orderkey") % 21).cast("int").alias("ih"),
+        (F.col("l_partkey") % 21).cast("int").alias("ik"),
+        (F.col("l_suppkey") % 11).cast("int").alias("il"),
+        F.col("l_quantity").cast("long").alias("qty"),
     )
+    if together:  # a fixed number, so that tasks stay small: a task holds its bins several times on the way to the volumes
+        lines = lines.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * lines.rdd.getNumPartitions()), "volume_id")
+    cell = lines.groupBy("volume_id", "ih", "ik", "il").agg(F.sum("qty").cast("double").alias("intensity"), F.count("*").cast("double").alias("n"))
     return cell.select(
         "volume_id", "ih", "ik", "il",
         ((F.col("ih") - 10).cast("double") / 5).alias("h"), ((F.col("ik") - 10).cast("double") / 5).alias("k"),
@@ -55,9 +58,9 @@ def from_lineitem(spark: SparkSession, sf_dir: str, run: int | None = None) -> D
 SCANS_SQL = BINS_SQL.replace("l_returnflag AS volume_id", "l_returnflag || '-' || CAST(l_orderkey // 500 AS VARCHAR) AS volume_id")
 
 
-def scans(spark: SparkSession, sf_dir: str, run: int = 500) -> DataFrame:
+def scans(spark: SparkSession, sf_dir: str, run: int = 500, together: bool = False) -> DataFrame:
     """Bins with q of one volume per return flag and run of orders: their number grows with ``lineitem``."""
-    return from_lineitem(spark, sf_dir, run).withColumn("q", q_magnitude(UB, F.col("h"), F.col("k"), F.col("l")))
+    return from_lineitem(spark, sf_dir, run, together).withColumn("q", q_magnitude(UB, F.col("h"), F.col("k"), F.col("l")))
 
 
 def volumes_of(bins: DataFrame, shape: tuple[int, int, int] = SHAPE, step: float = 0.2, ub: tuple[float, ...] = UB) -> DataFrame:

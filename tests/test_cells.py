@@ -70,6 +70,46 @@ def test_rotation_diagnosis(spark):
     assert ce.rotation_diagnosis(offsets(spark, (0, 0, 0), 0.02), 0.1).first().status == "not_significant"
 
 
+def by_rounds(q, d, w, reject, within, least, rounds):
+    """The rotation of one volume and which offsets it keeps, round by round with numpy."""
+    d = d - ((d * q).sum(1) / (q * q).sum(1))[:, None] * q
+    used = np.ones(len(q), dtype=bool)
+
+    def fit():
+        m = sum(c * (x @ x * np.eye(3) - np.outer(x, x)) for x, c in zip(q[used], w[used], strict=True))
+        return np.linalg.solve(m, (w[used, None] * np.cross(q[used], d[used])).sum(0)) if np.linalg.det(m) > 1e-8 * np.trace(m) ** 3 else None
+
+    for _ in range(rounds):
+        if (o := fit()) is None:
+            break
+        r = np.linalg.norm(d - np.cross(o, q), axis=1)
+        kept = r <= max(reject * np.median(r[used]), within)
+        used = kept if kept.sum() >= least else used
+    return fit(), used
+
+
+@pytest.mark.parametrize("rounds, within, least", [(5, 0.0, 4), (2, 0.0, 4), (5, 0.05, 4), (5, 0.0, 12), (0, 0.0, 4)])
+def test_rotations_of_many_volumes_round_by_round(spark, rounds, within, least):
+    rng, rows, want = np.random.default_rng(7), [], {}
+    for v in range(40):
+        n = int(rng.integers(3, 60))
+        q = rng.normal(size=(n, 3)) * (1, 1, 0 if v % 10 == 9 else 1)
+        q = q * (1, 0, 0) if v % 10 == 8 else q  # one direction only
+        d = np.cross((0.02, -0.01, 0.03), q) + rng.normal(size=(n, 3)) * 0.01 * 10.0 ** rng.integers(0, 3, size=(n, 1))
+        w = rng.random(n) + 0.5
+        want[f"v{v}"] = (q, *by_rounds(q, d, w, 2.0, within, least, rounds))
+        rows += [(f"v{v}", *map(float, (*a, *b, c))) for a, b, c in zip(q, d, w, strict=True)]
+    o = spark.createDataFrame([*rows, (None, *rows[0][1:])], "volume_id string, qx double, qy double, qz double, dx double, dy double, dz double, w double")
+    got = {r.volume_id: r for r in ce.rotation_diagnosis(o, 0.1, 2.0, within, least, rounds=rounds).collect()}
+    assert got.keys() == want.keys()
+    for v, (q, omega, used) in want.items():
+        assert (got[v].n, got[v].rejected) == (used.sum(), (~used).sum())
+        assert got[v].wx is None if omega is None else np.allclose((got[v].wx, got[v].wy, got[v].wz), omega, atol=1e-9)
+        assert omega is None or math.isclose(got[v].max_shift, np.linalg.norm(np.cross(omega, q), axis=1).max(), rel_tol=1e-9)
+    if rounds == 5 and not within and least == 4:
+        assert max(r.rejected for r in got.values()) > 5
+
+
 def test_rotation_about_one_direction_is_not_fitted(spark):
     o = offsets(spark, (0.01, 0.0, 0.0)).filter("qy = 0 and qz = 0")
     r = ce.rotation_diagnosis(o, 0.1).first()

@@ -110,3 +110,15 @@ def test_node_centres_are_those_of_peaks_and_moments(spark):
 def test_centres_read_their_bins_once(spark, name):
     p = plan(registry.queries()[name](spark, SF))
     assert sum("FileScan" in x for x in p.splitlines()) == 1 and "Join" not in p
+
+
+def test_rounds_without_outliers_share_one_shuffle(spark):
+    p = plan(registry.queries()["dom_rotation_diagnosis"](spark, SF))
+    assert sum("Exchange" in x for x in p.splitlines()) == 1 and "Join" not in p
+    assert sum("FileScan" in x for x in p.splitlines()) == 1 and "ExistingRDD" not in p  # nothing ran before
+
+
+def test_scans_dealt_out_by_volume_are_the_same(spark):
+    dealt = src.scans(spark, SF, together=True)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, src.scans(spark, SF).collect()))
+    assert sum("Exchange" in x for x in plan(dealt.groupBy("volume_id").count()).splitlines()) == 1
