@@ -102,3 +102,32 @@ def test_least_length_of_items_that_remove(spark):
     assert [r.doc_id for r in decontam.report(docs, items).collect()] == [1]
     assert sorted(r.doc_id for r in decontam.keep(docs, items).collect()) == [1, 2]
     assert [r.doc_id for r in decontam.keep(docs, items, shortest=1).collect()] == [2]
+
+
+def test_copies_of_items_and_blocks_of_seeds(spark, monkeypatch):
+    w = [f"v{k}" for k in range(400)]
+    texts = [" ".join(w[30 * k : 30 * k + 25 + k]) for k in range(5)] + [" ".join(w[200 : 200 + n]) for n in (3, 7, 150)]
+    items = [(100 * c + k, t) for c in range(40) for k, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0]), (0, texts[1])]
+    docs = [(k, f"before {' '.join(t.split()[: 20 + 3 * k])} after") for k, t in enumerate(texts)] + [(8, " ".join(w[195:360])), (9, "nothing of them")]
+    written, plans = [], []
+
+    def watch(df, real=decontam.materialise):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        written.append(real(df))
+        return written[-1]
+
+    monkeypatch.setattr(decontam, "materialise", watch)
+    bench, want = spark.createDataFrame(items, "item_id long, text string"), brute(docs, items)
+    assert len(want) > 300
+    rows = []
+    for most in (decontam.BROADCAST_SEEDS, 400, 0):  # one block, some, one for each text and PLACES places
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", most)
+        monkeypatch.setattr(decontam, "PLACES", 50, raising=False)
+        out = decontam.report(frame(spark, docs), bench)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        rows.append(sorted(str(tuple(r)) for r in out.collect()))
+        assert {(r.doc_id, r.item_id) for r in out.collect()} == want
+    assert rows[0] == rows[1] == rows[2]
+    once = sum(len(decontam.MASKS) * len(t.split()) for t in texts)
+    assert all(x.count() <= once for x in written if "seed" in x.columns)  # copies of an item are searched for once
+    assert not any("hashpartitioning(seed" in p for p in plans)  # no row for every place of the documents is shuffled
